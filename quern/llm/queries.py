@@ -7,20 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import tokens
+from . import mixing, quality, sharding, simhash, tokens
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.prefix_token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), repetition_limit=2.0)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+WITH sized AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes FROM documents),
+summed AS (
+  SELECT doc_id, n_bytes,
+    CAST(sum(n_bytes) OVER (ORDER BY doc_id NULLS FIRST, n_bytes ROWS UNBOUNDED PRECEDING) - n_bytes AS BIGINT) AS byte_start,
+    CAST(sum(n_bytes) OVER () AS BIGINT) AS total
+  FROM sized),
+counted AS (SELECT *, greatest(1, (total + 8388607) // 8388608) AS n FROM summed)
+SELECT doc_id, n_bytes, byte_start, CAST(least(n - 1, CAST(byte_start AS HUGEINT) * n // greatest(total, 1)) AS BIGINT) AS shard FROM counted
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_counts": op5_token_counts, "op7_bpe": op7_bpe}
+    return {
+        "op1_simhash": op1_simhash,
+        "op5_token_counts": op5_token_counts,
+        "op6_mixing": op6_mixing,
+        "op7_bpe": op7_bpe,
+        "op8_quality": op8_quality,
+        "op9_sharding": op9_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_sharding": OP9_SQL}
