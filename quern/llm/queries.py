@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import mixing, quality, sharding, simhash, tokens
+from . import ego, html, media, mixing, quality, sharding, simhash, tokens, urls
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_chunks(table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.prefix_token_counts(table(spark, sf_dir, "documents"))
 
@@ -34,6 +46,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.score_urls(table(spark, sf_dir, "pages"))
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id)
+SELECT * FROM p WHERE cosine >= 0.95
+"""
+
 OP9_SQL = """
 WITH sized AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes FROM documents),
 summed AS (
@@ -49,13 +71,17 @@ SELECT doc_id, n_bytes, byte_start, CAST(least(n - 1, CAST(byte_start AS HUGEINT
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_html": op2_html,
+        "op3_embeddings": op3_embeddings,
+        "op4_media": op4_media,
         "op5_token_counts": op5_token_counts,
         "op6_mixing": op6_mixing,
         "op7_bpe": op7_bpe,
         "op8_quality": op8_quality,
         "op9_sharding": op9_sharding,
+        "op10_urls": op10_urls,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_sharding": OP9_SQL}
+    return {"op3_embeddings": OP3_SQL, "op9_sharding": OP9_SQL}
