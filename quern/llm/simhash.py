@@ -28,7 +28,7 @@ from .bpe import gather, sums
 from .graph import components
 
 BYTES = 16
-MAX_DISTANCE = 16
+MAX_DISTANCE = 18
 #: Positional triples: three of any five shared bytes lie in one half.
 TRIPLES = np.array([t for half in (range(8), range(8, 16)) for t in itertools.combinations(half, 3)], np.int64)
 #: A pair in a list of triples shares as many positional bytes.
