@@ -8,7 +8,18 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time, whatever the batch.
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_000_000
+
+
+_held: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What make gives, kept by the Python worker for later batches and tasks; a worker keeps one such thing, that of the operator at work."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 def pieces(batch: pa.RecordBatch, column: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

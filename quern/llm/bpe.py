@@ -317,7 +317,7 @@ class Codec:
     A key that starts with a space stands for the rest of the key as it is; any other key for itself after a space.
     """
 
-    CAP = 500_000
+    CAP = 200_000
 
     def __init__(self, vocab: Vocab, pattern: str = PATTERN, prefixes: bool = False):
         self.vocab, self.prefixes = vocab, prefixes

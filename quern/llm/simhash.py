@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, ensure_importable
-from .arrow import over_pieces
+from .arrow import kept, over_pieces
 from .bpe import gather, sums
 from .graph import components
 
@@ -40,7 +40,7 @@ _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 class Words:
     """Chunks between white space to hashed words; a worker keeps it from batch to batch."""
 
-    CAP = 500_000
+    CAP = 200_000
 
     def __init__(self):
         self.clear()
@@ -116,16 +116,11 @@ def _votes(hashes: np.ndarray, word: np.ndarray, heads: np.ndarray) -> np.ndarra
     return np.add.reduceat(np.unpackbits(hashes[word], axis=1), heads, axis=0, dtype=np.int32)
 
 
-_words: list[Words] = []
-
-
 def _fingerprint_piece(batch: pa.RecordBatch) -> pa.RecordBatch:
-    if not _words:
-        _words.append(Words())
     texts = batch.column(2).to_pylist()
     at = [i for i, t in enumerate(texts) if t is not None]
     found: list[bytes | None] = [None] * len(texts)
-    for i, fp in zip(at, _words[0].fingerprints([texts[i] for i in at])):
+    for i, fp in zip(at, kept(("simhash",), Words).fingerprints([texts[i] for i in at])):
         found[i] = fp
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "row", "fp"])
 

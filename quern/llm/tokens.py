@@ -11,20 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_importable
-from .arrow import lists, over_pieces, string_bytes
+from .arrow import kept, lists, over_pieces, string_bytes
 from .bpe import DEFAULT_VOCAB, PATTERN, Codec, gather, sums, vocab_of
 
-_codecs: dict[tuple, Codec] = {}
-
-
 def _codec(content: Broadcast, pattern: str, prefixes: bool) -> Codec:
     """The Python worker's codec; it lives as long as the worker, so later tasks find the chunks of earlier ones."""
     data = content.value
-    key = (hash(data), pattern, prefixes)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(vocab_of(data), pattern, prefixes)
-    return _codecs[key]
+    return kept(("bpe", hash(data), pattern, prefixes), lambda: Codec(vocab_of(data), pattern, prefixes))
 
 
 def read_vocab(spark: SparkSession, path: str) -> Broadcast:
