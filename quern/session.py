@@ -30,8 +30,16 @@ def build_session(app: str = "quern", cpus: int | str = 8, shuffle_partitions: i
     return ensure_importable(spark)
 
 
+def settle(spark: SparkSession) -> SparkSession:
+    """Keep unions from passing on their inputs' partitioning: in Spark 4.1 adaptive execution can coalesce the inputs differently, and a window or
+    join on top then misses rows, or fails to zip them."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def ensure_importable(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package where they share the file system (elsewhere, submit it with --py-files)."""
+    settle(spark)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
