@@ -136,6 +136,6 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     _, sources, cuts, n = _decisions(rows, seed, block_tokens, **target)
     text = F.col("q_doc")[text_col].cast("string")
     row = F.xxhash64(F.lit(seed), F.col("q_doc")[id_col], F.xxhash64(text))
-    docs = df.select(F.struct(*[df[c] for c in df.columns]).alias("q_doc"))
+    docs = df.select(F.struct("*").alias("q_doc"))
     docs = docs.select("q_doc", F.col("q_doc")[source_col].alias("q_source"), row.alias("q_h"), F.xxhash64(row).alias("q_h2"), F.when(text.rlike(r"\S"), 1).otherwise(0).alias("q_some"))
     return _apply(docs, "q_source", "q_h", "q_h2", sources, cuts, n, "q_some").select("q_doc.*")
