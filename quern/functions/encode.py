@@ -12,7 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-import regex
+import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +21,9 @@ from . import text as T
 
 SEED = 7742
 SIGNATURE_BITS, TOKEN_BITS = 1024, 128
-_BLANKS = regex.compile(r"\s+")
-_WORDS = regex.compile(r"[\p{L}\p{N}_]+")
-_CJK = regex.compile(T.CJK)
+_BLANKS = re.compile(r"\s+")
+_WORDS = re.compile(r"\w+")
+_CJK = re.compile(T.CJK)
 
 
 def _crc_table() -> np.ndarray:
@@ -89,7 +89,7 @@ def hashed_vectors(texts: list[str], dims: int, low: int, high: int, prefix: byt
     h, owner = gram_hashes(padded, low, high, prefix)
     signs = np.where(h >> np.uint32(31), 1.0, -1.0)
     flat = np.bincount(owner * dims + (h % np.uint32(dims)).astype(np.int64), signs, len(texts) * dims)
-    rows = flat.reshape(len(texts), dims)
+    rows = flat.astype(np.float64).reshape(len(texts), dims)
     size = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, size, out=rows, where=size > 0).astype(np.float32)
 
