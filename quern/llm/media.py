@@ -1,9 +1,8 @@
 """Operator 4: content-defined chunks of payloads, deduplicated, put together again and verified.
 
 A gear hash rolls over the payload; a chunk ends where its ten upper bits are zero, after MIN bytes at least and MAX at most, so that equal passages
-give equal chunks wherever they stand. Chunk digests are deduplicated by a Spark join. To verify, chunks travel to the task
-that owns their digest, where one copy of each stays, and from there to the media that list them; both ways they go in
-compressed packs, one for each pair of tasks.
+give equal chunks wherever they stand. Chunk digests are deduplicated by a Spark join. To verify, every payload is put together again from
+the chunks that the store keeps, in order; chunks travel in compressed packs, one for each pair of tasks.
 """
 
 from __future__ import annotations
@@ -60,7 +59,13 @@ def cuts(payload: bytes, gear: np.ndarray) -> list[int]:
 
 
 def _bucket(key: bytes, n: int) -> int:
-    return int.from_bytes(key[:8], "big") % n
+    return int.from_bytes(key[:7], "big") % n
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        nulls = pa.nulls(b.num_rows, pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns, nulls, nulls, nulls], names=["bucket", "pack", "at", "digest", "to"])
 
 
 def _packer(out: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +116,20 @@ def chunks(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     return df.select(df[id_col].alias("id"), df[payload_col].cast("binary").alias("payload")).mapInArrow(run, f"id {kind}, media binary, n_bytes bigint, ends array<int>, digests array<binary>")
 
 
-def _rebuilt(df: DataFrame, payload_col: str, buckets: int) -> DataFrame:
-    """(media, good): for each distinct payload whether it comes out again when its chunks are fetched from the deduplicated store in order."""
+def _rebuilt(df: DataFrame, rows: DataFrame, payload_col: str, buckets: int) -> DataFrame:
+    """(media, good): for each distinct payload whether it comes out again when its chunks are fetched from the deduplicated store in order.
+
+    The store keeps a chunk with the medium of smallest SHA-256 that has it. Spark joins find each medium's chunks that are kept elsewhere. Payloads meet
+    these lists once; media that keep all their chunks are put together there, the others' chunks and those that they need travel on.
+    """
     gear = _gear()
+    uses = rows.where("media is not null").select("media", F.explode("digests").alias("digest")).distinct()
+    kept = uses.groupBy("digest").agg(F.min("media").alias("keeper"))
+    foreign = uses.join(kept, "digest").where("media <> keeper")
+    moves = foreign.select(F.explode(F.array(F.struct(F.col("media").alias("at"), "digest", F.lit(None).cast("binary").alias("to")), F.struct(F.col("keeper").alias("at"), "digest", F.col("media").alias("to")))).alias("m")).select("m.*")
+    bucket = F.pmod(F.conv(F.hex(F.substring("at", 1, 7)), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
+    lists = moves.select(bucket.alias("bucket"), F.lit(None).cast("binary").alias("pack"), "at", "digest", "to")
+    kind = "bucket int, pack binary, at binary, digest binary, to binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[int, list[bytes]] = {}
@@ -123,61 +139,88 @@ def _rebuilt(df: DataFrame, payload_col: str, buckets: int) -> DataFrame:
             for piece in pieces(batch, 0):
                 for p in piece.column(0).to_pylist():
                     media = hashlib.sha256(p).digest()
-                    e = cuts(p, gear)
-                    for i, (a, b) in enumerate(zip([0, *e], e)):
-                        d = hashlib.sha256(p[a:b]).digest()
-                        out.setdefault(_bucket(d, buckets), []).append(_record(d, b"" if d in seen else p[a:b], media, struct.pack("<II", i, len(e))))
-                        seen.add(d)
-                        held += b - a
+                    if media in seen:
+                        continue
+                    seen.add(media)
+                    out.setdefault(_bucket(media, buckets), []).append(_record(media, p))
+                    held += len(p)
                 if held > _PACK_BYTES:
-                    yield from _packer(out)
+                    yield from _wide(_packer(out))
                     out, seen, held = {}, set(), 0
-        yield from _packer(out)
+        yield from _wide(_packer(out))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bytes, bytes] = {}
-        wanted: list[tuple[bytes, bytes, bytes]] = []
+        packs: list[bytes] = []
+        needs: dict[bytes, set[bytes]] = {}
+        gives: dict[bytes, dict[bytes, list[bytes]]] = {}
         for batch in batches:
-            for pack in batch.column(1).to_pylist():
-                for d, payload, media, place in _records(pack, 4):
-                    if payload and d not in kept:
-                        kept[d] = payload
-                    wanted.append((media, place, d))
-        for d, payload in kept.items():
-            if hashlib.sha256(payload).digest() != d:
-                raise ValueError("a stored chunk doesn't match its digest")
+            for pack, at, digest, to in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                if pack is not None:
+                    packs.append(pack)
+                elif to is None:
+                    needs.setdefault(at, set()).add(digest)
+                else:
+                    gives.setdefault(at, {}).setdefault(digest, []).append(to)
         out: dict[int, list[bytes]] = {}
+        done: dict[bytes, bool] = {}
         held = 0
-        wanted.sort()  # chunks of a medium stand together: they compress better
-        for media, place, d in wanted:
-            out.setdefault(_bucket(media, buckets), []).append(_record(media, place, kept[d]))
-            held += len(kept[d])
-            if held > _PACK_BYTES:
-                yield from _packer(out)
-                out, held = {}, 0
-        yield from _packer(out)
+        for pack in packs:
+            for media, payload in _records(pack, 2):
+                if media in done:
+                    continue
+                e = cuts(payload, gear)
+                own = [payload[a:b] for a, b in zip([0, *e], e)]
+                names = [hashlib.sha256(c).digest() for c in own]
+                away, asked = needs.get(media, set()), gives.get(media, {})
+                here = {d: c for d, c in zip(names, own) if d not in away}
+                for d, others in asked.items():
+                    for to in others:
+                        out.setdefault(_bucket(to, buckets), []).append(_record(to, d, here[d], b""))
+                        held += len(here[d])
+                done[media] = False
+                if away:
+                    for d, c in here.items():
+                        out.setdefault(_bucket(media, buckets), []).append(_record(media, d, c, b""))
+                    out.setdefault(_bucket(media, buckets), []).append(_record(media, b"", b"", b"".join(names)))
+                    held += len(payload)
+                else:
+                    h = hashlib.sha256()
+                    for d in names:
+                        h.update(here[d])
+                    done[media] = h.digest() == media
+                if held > _PACK_BYTES:
+                    yield from _wide(_packer(out))
+                    out, held = {}, 0
+        yield from _wide(_packer(out))
+        whole = [m for m in done if m not in needs]
+        if whole:
+            nulls = pa.nulls(len(whole), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([_bucket(m, buckets) for m in whole], pa.int32()), nulls, pa.array(whole, pa.binary()), nulls, pa.array([b"1" if done[m] else b"" for m in whole], pa.binary())], names=["bucket", "pack", "at", "digest", "to"])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[bytes, dict[int, bytes]] = {}
-        sizes: dict[bytes, int] = {}
+        parts: dict[bytes, dict[bytes, bytes]] = {}
+        order: dict[bytes, bytes] = {}
         for batch in batches:
-            for pack in batch.column(1).to_pylist():
-                for media, place, payload in _records(pack, 3):
-                    i, n = struct.unpack("<II", place)
-                    parts.setdefault(media, {})[i] = payload
-                    sizes[media] = n
+            at, to = batch.column(2), batch.column(4)
+            known = at.is_valid()
+            yield pa.RecordBatch.from_arrays([at.filter(known), pa.array([x == b"1" for x in to.filter(known).to_pylist()], pa.bool_())], names=["media", "good"])
+            for pack in batch.column(1).drop_null().to_pylist():
+                for media, d, payload, names in _records(pack, 4):
+                    if names:
+                        order[media] = names
+                    else:
+                        parts.setdefault(media, {})[d] = payload
         good = []
-        for media, own in parts.items():
-            h = hashlib.sha256()
-            for i in range(sizes[media]):
-                h.update(own.get(i, b""))
-            good.append(len(own) == sizes[media] and h.digest() == media)
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.binary()), pa.array(good, pa.bool_())], names=["media", "good"])
+        for media, names in order.items():
+            h, own = hashlib.sha256(), parts.get(media, {})
+            for i in range(0, len(names), 32):
+                h.update(own.get(names[i : i + 32], b""))
+            good.append(h.digest() == media)
+        yield pa.RecordBatch.from_arrays([pa.array(list(order), pa.binary()), pa.array(good, pa.bool_())], names=["media", "good"])
 
     payloads = df.select(df[payload_col].cast("binary").alias("payload")).where("length(payload) > 0")
-    kind = "bucket int, pack binary"
-    stored = payloads.mapInArrow(send, kind).repartition(buckets, "bucket").mapInArrow(store, kind)
-    return stored.repartition(buckets, "bucket").mapInArrow(rebuild, "media binary, good boolean")
+    met = payloads.mapInArrow(send, kind).unionByName(lists).repartition(buckets, "bucket").mapInArrow(store, kind)
+    return met.repartition(buckets, "bucket").mapInArrow(rebuild, "media binary, good boolean")
 
 
 def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "html", buckets: int | None = None) -> DataFrame:
@@ -196,7 +239,7 @@ def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "htm
     uses = rows.select("id", "key", F.posexplode("digests").alias("place", "digest"))
     first = uses.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "place")).alias("first")).select("digest", F.col("first.key").alias("key"))
     new = first.groupBy("key").agg(F.count("*").alias("n_new"))
-    rebuilt = _rebuilt(df, payload_col, n)
+    rebuilt = _rebuilt(df, rows, payload_col, n)
     out = rows.join(new, "key", "left").join(rebuilt, "media", "left")
     size = F.size("digests")
     return out.select(
