@@ -54,12 +54,12 @@ def string_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def over_pieces(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def over_pieces(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: int, most: int = PIECE_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """fn for mapInArrow, called with a slice of bounded size at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, column):
+            for piece in pieces(batch, column, most):
                 yield fn(piece)
 
     return run

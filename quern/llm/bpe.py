@@ -317,80 +317,105 @@ class Codec:
     A key that starts with a space stands for the rest of the key as it is; any other key for itself after a space.
     """
 
-    CAP = 200_000
+    #: Chunks and words that are kept; the prefix counts work alone in their job and have room for more.
+    CAP = 250_000
+    PREFIX_CAP = 500_000
 
     def __init__(self, vocab: Vocab, pattern: str = PATTERN, prefixes: bool = False):
         self.vocab, self.prefixes = vocab, prefixes
         self.split = regex.compile(pattern).findall
+        self.cap = self.word_cap = self.PREFIX_CAP if prefixes else self.CAP
         self.chunked = pattern == PATTERN
         self.clear()
+        self.clear_words()
 
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
-        self.words: dict[str, int] = {}
         self.rough = np.zeros(0, bool)
         self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.word_count = np.zeros(0, np.int64)
         if self.prefixes:
             self.total = np.zeros(0, np.int64)
 
+    def clear_words(self) -> None:
+        """Words recur in many chunks (with other marks around them): their tokens (or prefix counts) outlive the chunks."""
+        self.words: dict[str, int] = {}
+        self.word_flat, self.word_start, self.word_count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.word_total = np.zeros(0, np.int64)
+
+    def _word_ids(self, words: list[str]) -> np.ndarray:
+        known = self.words
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            encoded = [w.encode() for w in new]
+            tokens, n = self._prefix_words(encoded) if self.prefixes else self.vocab.replay(encoded)
+            base = len(known)
+            for i, w in enumerate(new):
+                known[w] = base + i
+            self.word_start = np.concatenate([self.word_start, len(self.word_flat) + np.cumsum(n) - n])
+            if self.prefixes:
+                self.word_total = np.concatenate([self.word_total, tokens[np.cumsum(n) - 1].astype(np.int64)])
+            self.word_flat = np.concatenate([self.word_flat, tokens])
+            self.word_count = np.concatenate([self.word_count, n])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
     def _literal(self, key: str) -> str:
-        return key[2:] if key.startswith("  ") else key[1:] if key.startswith(" ") else " " + key
+        return " " + key if key[:1] != " " else key[2:] if key[1:2] == " " else key[1:]
 
     def _learn(self, keys: list[str]) -> None:
         """Adds the chunks that aren't known yet."""
-        vocab, split = self.vocab, self.split
-        base = len(self.ids)
+        split = self.split
+        self.ids.update(zip(keys, range(len(self.ids), len(self.ids) + len(keys))))
+        rough, per = np.zeros(len(keys), bool), np.ones(len(keys), np.int64)
+        words: list[str] = []
+        odd: list[tuple[int, str]] = []  # chunks that are more than one word of letters
         for i, k in enumerate(keys):
-            self.ids[k] = base + i
-        rough = np.fromiter((not k.startswith(" ") and (not k or k[0].isspace() or k[-1].isspace()) for k in keys), bool, len(keys))
-        lits = [self._literal(k) for k in keys]
-        parts = [[x] if x[1:].isalpha() and x[0] == " " else split(x) for x in lits]
-        own: dict[str, int] = {}
-        flat_words = [own.setdefault(w, len(own)) for p in parts for w in p]
-        per = np.fromiter(map(len, parts), np.int64, len(parts))
-        encoded = [w.encode() for w in own]
-        if not self.prefixes:
-            tok, n_tok = vocab.replay(encoded)
-            starts = np.cumsum(n_tok) - n_tok
-            fw = np.array(flat_words, np.int64)
-            flat, sizes = gather(tok, starts, n_tok, fw)
-            chunk_n = sums(sizes, per)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(chunk_n) - chunk_n])
-            self.flat = np.concatenate([self.flat, flat])
-            self.count = np.concatenate([self.count, chunk_n])
-        else:
-            flat, sizes, totals = self._prefix_rows(lits, parts, encoded, flat_words, per)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.flat = np.concatenate([self.flat, flat])
-            self.count = np.concatenate([self.count, sizes])
+            if k.isalpha():
+                words.append(" " + k)
+                continue
+            x = self._literal(k)
+            own = split(x)
+            words += own
+            per[i] = len(own)
+            rough[i] = not k or (k[0] != " " and (k[0].isspace() or k[-1].isspace()))
+            odd.append((i, x))
+        if len(self.words) > self.word_cap:
+            self.clear_words()
+        at = self._word_ids(words)
+        if self.prefixes:
+            flat, chunk_n, totals = self._prefix_rows(odd, at, per)
             self.total = np.concatenate([self.total, totals])
+        else:
+            flat, sizes = gather(self.word_flat, self.word_start, self.word_count, at)
+            chunk_n = sums(sizes, per)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(chunk_n) - chunk_n])
+        self.flat = np.concatenate([self.flat, flat])
+        self.count = np.concatenate([self.count, chunk_n])
         self.rough = np.concatenate([self.rough, rough])
 
-    def _prefix_rows(self, lits, parts, encoded, flat_words, per):
+    def _prefix_words(self, encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token counts at every character of every word, one after the other, and the words' lengths."""
+        rows = self.vocab.prefix_counts(encoded)
+        flat, n = np.concatenate(rows), np.fromiter(map(len, encoded), np.int64, len(encoded))
+        raw = np.frombuffer(b"".join(encoded), np.uint8)
+        ends = np.append((raw[1:] & 0xC0) != 0x80, True)  # the last bytes of characters
+        for w in (b"'re", b"'ve", b"'ll"):  # a prefix of two characters is two words yet
+            if w in encoded:
+                i = encoded.index(w)
+                at = int(n[:i].sum())
+                flat[at : at + 2] = 1, 2
+        return flat[ends], sums(ends.astype(np.int64), n)
+
+    def _prefix_rows(self, odd: list[tuple[int, str]], at: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token counts at every character of every chunk, counted from the chunk's start."""
-        rows = []
-        for w, c in zip(encoded, self.vocab.prefix_counts(encoded)):
-            if len(w) > 1 and not w.isascii():
-                b = np.frombuffer(w, np.uint8)
-                c = c[np.append((b[1:] & 0xC0) != 0x80, True)]
-            if w in (b"'re", b"'ve", b"'ll"):  # a prefix of two characters is two words yet
-                c = np.array([1, 2, c[2]], np.int32)
-            rows.append(c)
-        sizes_w = np.fromiter(map(len, rows), np.int64, len(rows))
-        cat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        starts_w = np.cumsum(sizes_w) - sizes_w
-        total_w = cat[starts_w + sizes_w - 1].astype(np.int64) if rows else np.zeros(0, np.int64)
-        fw = np.array(flat_words, np.int64)
-        flat, lens = gather(cat, starts_w, sizes_w, fw)
-        tot = total_w[fw] if len(fw) else np.zeros(0, np.int64)
+        flat, lens = gather(self.word_flat, self.word_start, self.word_count, at)
+        tot = self.word_total[at]
         before = np.cumsum(tot) - tot
         chunk_tot = sums(tot, per)
         chunk_base = np.repeat(np.cumsum(chunk_tot) - chunk_tot, per)
         flat = flat + np.repeat((before - chunk_base).astype(np.int32), lens)
         sizes = sums(lens, per)
         starts = np.cumsum(sizes) - sizes
-        for i, x in enumerate(lits):
+        for i, x in odd:
             if len(x) > 1 and _SPACES.search(x):
                 for m in _SPACES.finditer(x):  # inside a run of white space, the prefix's last word is the run so far
                     at = int(starts[i]) + m.start()
@@ -414,7 +439,7 @@ class Codec:
         return keys, per
 
     def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.ids) > self.CAP:
+        if len(self.ids) > self.cap:
             self.clear()
         keys, per = self.keys(texts)
         new = [k for k in dict.fromkeys(keys) if k not in self.ids] if self.ids else list(dict.fromkeys(keys))

@@ -14,6 +14,10 @@ from ..session import ensure_importable
 from .arrow import kept, lists, over_pieces, string_bytes
 from .bpe import DEFAULT_VOCAB, PATTERN, Codec, gather, sums, vocab_of
 
+#: Bytes of text that are encoded at a time: new words of a larger piece share the steps of a replay.
+ENCODE_BYTES = 2_000_000
+
+
 def _codec(content: Broadcast, pattern: str, prefixes: bool) -> Codec:
     """The Python worker's codec; it lives as long as the worker, so later tasks find the chunks of earlier ones."""
     data = content.value
@@ -61,7 +65,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab:
             names=["_id", "tokens", "n_tokens", "n_bytes", "round_trip"],
         )
 
-    out = df.select(df[id_col].alias("_id"), df[text_col].cast("string").alias("_text")).mapInArrow(over_pieces(piece, 1), f"_id {id_type.simpleString()}, tokens array<int>, n_tokens int, n_bytes int, round_trip boolean")
+    out = df.select(df[id_col].alias("_id"), df[text_col].cast("string").alias("_text")).mapInArrow(over_pieces(piece, 1, ENCODE_BYTES), f"_id {id_type.simpleString()}, tokens array<int>, n_tokens int, n_bytes int, round_trip boolean")
     return out.withColumnRenamed("_id", id_col)
 
 
@@ -136,7 +140,7 @@ def prefix_token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.RecordBatch.from_arrays(columns, names=["_id", "n_tokens", "prefix_tokens", *[f"chars_within_{b}" for b in budgets]])
 
     schema = f"_id {id_type.simpleString()}, n_tokens int, prefix_tokens array<int>" + "".join(f", chars_within_{b} int" for b in budgets)
-    return df.select(df[id_col].alias("_id"), df[text_col].cast("string").alias("_text")).mapInArrow(over_pieces(piece, 1), schema).withColumnRenamed("_id", id_col)
+    return df.select(df[id_col].alias("_id"), df[text_col].cast("string").alias("_text")).mapInArrow(over_pieces(piece, 1, ENCODE_BYTES), schema).withColumnRenamed("_id", id_col)
 
 
 def tokens_of_prefix(prefix_tokens: Column, chars: Column | int) -> Column:
