@@ -130,12 +130,11 @@ def pack(parts: list[str], sizes: list[int], target: int, overlap: int) -> list[
     return [c for c in found if c.strip()]
 
 
-def chunks(text: Column, target: int = 400, overlap: int = 60) -> Column:
-    """The text's chunks in order. Sentences and their sizes are found in the JVM; only the packing, a sequential fold, is Python's."""
+def chunks(parts: Column, target: int = 400, overlap: int = 60) -> Column:
+    """The chunks of a text's sentences, in order. Sentences and their sizes come from the JVM; only the packing, a sequential fold, is Python's."""
 
     @F.pandas_udf("array<string>")
     def packed(parts: pd.Series, sizes: pd.Series) -> pd.Series:
         return pd.Series([None if p is None else pack(list(p), [int(x) for x in n], target, overlap) for p, n in zip(parts, sizes)])
 
-    own = sentences(text)
-    return packed(own, F.transform(own, estimate_tokens))
+    return packed(parts, F.transform(parts, estimate_tokens))

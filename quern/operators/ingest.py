@@ -48,23 +48,31 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 def chunks(docs: DataFrame, config: Chunking = Chunking(), prefix: Column | None = None) -> DataFrame:
     """(chunk_id, doc_id, parent_id, kind, pos, text, ctx, n_tokens, importance) of documents' rows: chunks and their parent windows.
 
-    A small document is one chunk without a parent. More than MOST_CHUNKS chunks in a document are an error. prefix: text to stand between title and chunk,
-    such as a model's words on where the chunk belongs.
+    A small document is one chunk without a parent. More than MOST_CHUNKS chunks in a document are an error. prefix: an expression over the documents' columns, a text to stand
+    between title and chunk, such as a model's words on the document.
     """
-    whole = F.col("n_tokens") <= config.tiny_tokens
-    parts = F.when(whole, F.array("text")).otherwise(T.chunks(F.col("text"), config.chunk_tokens, config.overlap))
-    fits = F.when(F.size(parts) > MOST_CHUNKS, F.raise_error(F.concat(F.lit("too many chunks in document "), F.col("doc_id").cast("string"))).cast("array<string>")).otherwise(parts)
-    small = docs.select("doc_id", "title", whole.alias("_whole"), F.posexplode(fits).alias("pos", "text"))
-    body = F.col("text") if prefix is None else F.when(F.col("_whole"), F.col("text")).otherwise(F.concat(prefix, F.lit("\n"), F.col("text")))
-    parent = F.when(~F.col("_whole"), chunk_id(F.col("doc_id"), MOST_CHUNKS + F.floor(F.col("pos") / config.per_parent)))
-    own = small.select(
-        chunk_id(F.col("doc_id"), F.col("pos")).alias("chunk_id"), "doc_id", parent.cast("bigint").alias("parent_id"), F.lit("chunk").alias("kind"), "pos", "text",
-        T.context(F.col("title"), body, F.col("_whole")).alias("ctx"), T.estimate_tokens(F.col("text")).alias("n_tokens"), F.lit(0.5).alias("importance"),
-    )
-    grouped = own.where("parent_id is not null").groupBy("doc_id", "parent_id").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"))
-    windows = grouped.withColumn("text", F.array_join(F.transform("t", lambda x: x["text"]), " "))
-    parents = windows.select(F.col("parent_id").alias("chunk_id"), "doc_id", F.lit(None).cast("bigint").alias("parent_id"), F.lit("parent").alias("kind"), "pos", "text", F.lit(None).cast("string").alias("ctx"), T.estimate_tokens(F.col("text")).alias("n_tokens"), F.lit(0.5).alias("importance"))
-    return own.unionByName(parents)
+    # one pass, no exchange: a document's chunks and windows are made from one array; each step is a column, so that nothing is computed twice
+    rows = docs.withColumn("_whole", F.col("n_tokens") <= config.tiny_tokens)
+    rows = rows.withColumn("_s", F.when(~F.col("_whole"), T.sentences(F.col("text"))))
+    rows = rows.withColumn("_packed", T.chunks(F.col("_s"), config.chunk_tokens, config.overlap))
+    rows = rows.withColumn("_p", F.when(F.col("_whole"), F.array("text")).otherwise(F.col("_packed")))
+    rows = rows.withColumn("_p", F.when(F.size("_p") > MOST_CHUNKS, F.raise_error(F.concat(F.lit("too many chunks in document "), F.col("doc_id").cast("string"))).cast("array<string>")).otherwise(F.col("_p")))
+    n, per = F.size("_p"), config.per_parent
+    none = F.lit(None).cast("bigint")
+
+    def row(slot: Column, parent: Column, kind: str, pos: Column, text: Column) -> Column:
+        return F.struct(chunk_id(F.col("doc_id"), slot).alias("chunk_id"), parent.alias("parent_id"), F.lit(kind).alias("kind"), pos.cast("int").alias("pos"), text.alias("text"))
+
+    def window(i: Column) -> Column:
+        return chunk_id(F.col("doc_id"), MOST_CHUNKS + F.floor(i / per))
+
+    own = F.transform("_p", lambda t, i: row(i, F.when(~F.col("_whole"), window(i)).cast("bigint"), "chunk", i, t))
+    parents = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / per).cast("int")), lambda g: row(MOST_CHUNKS + g, none, "parent", g * per, F.array_join(F.slice("_p", g * per + 1, F.lit(per)), " ")))
+    every = F.when(F.col("_whole") | (n < 1), own).otherwise(F.concat(own, parents))
+    flat = rows.select("doc_id", "title", "_whole", *([] if prefix is None else [prefix.alias("_prefix")]), F.inline(every))
+    body = F.col("text") if prefix is None else F.when(F.col("_whole"), F.col("text")).otherwise(F.concat("_prefix", F.lit("\n"), F.col("text")))
+    ctx = F.when(F.col("kind") == "chunk", T.context(F.col("title"), body, F.col("_whole")))
+    return flat.select("chunk_id", "doc_id", "parent_id", "kind", "pos", "text", ctx.alias("ctx"), T.estimate_tokens(F.col("text")).alias("n_tokens"), F.lit(0.5).alias("importance"))
 
 
 def summaries(docs: DataFrame, summary: Column, config: Chunking = Chunking()) -> DataFrame:

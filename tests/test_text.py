@@ -109,7 +109,7 @@ def test_packing():
 
 def test_long_document_has_chunks_and_small_one_is_whole(spark):
     text = "\n\n".join(" ".join(f"Sentence {i} of paragraph {p} says something new." for i in range(40)) for p in range(12))
-    big, small = evaluated(spark, T.chunks(F.col("t")), [text, "One only."])
+    big, small = evaluated(spark, T.chunks(T.sentences(F.col("t"))), [text, "One only."])
     assert len(big) > 3 and small == ["One only."]
 
 
