@@ -61,7 +61,7 @@ class Vocab:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths[:-1])]).astype(np.int64)
         self._dp_ready = False
 
-    # -- corpus-level merge replay -------------------------------------------------
+    # corpus-level merge replay
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each adjacent pair, _NONE where the two don't merge (or one is a gap)."""
@@ -146,7 +146,7 @@ class Vocab:
     def encode_word(self, word: bytes) -> list[int]:
         return self.replay([word])[0].tolist()
 
-    # -- prefix counts ---------------------------------------------------------------
+    # prefix counts
 
     def _prepare(self) -> None:
         """Each token's last merge, found in rank order; tokens that BPE never makes have none."""

@@ -34,8 +34,6 @@ TRIPLES = np.array([t for half in (range(8), range(8, 16)) for t in itertools.co
 #: A pair in a list of triples shares as many positional bytes.
 LEAST_SHARED = 3
 
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
 
 class Words:
     """Chunks between white space to hashed words; a worker keeps it from batch to batch."""

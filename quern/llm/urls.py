@@ -81,14 +81,21 @@ class Segmenter:
 
 
 def unigrams(df: DataFrame, text_col: str, url_col: str, size: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the most frequent words of the pages' text (tags removed), and of the words of URL parts that a delimiter splits in two or more; ties by word.
+    """Counts of the most frequent words of the pages' text (tags removed), and of the words of URL parts that a delimiter splits in two or more.
+    The least count that leaves up to `size` words decides; words of equal count are all in or all out.
     A part that is one run of letters may be several words and tells nothing."""
     text = F.regexp_replace(F.coalesce(df[text_col].cast("string"), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>|&\w+;", " ")
     page = df.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w"))
     part = df.select(F.explode(F.split(F.lower(df[url_col].cast("string")), r"[./:?#&=@]+")).alias("p")).select(F.regexp_extract_all("p", F.lit(r"\p{L}+"), F.lit(0)).alias("ws"))
     url = part.where(F.size("ws") > 1).select(F.explode("ws").alias("w"))
-    counts = page.unionByName(url).where(F.length("w").between(1, _LONGEST)).groupBy("w").count()
-    rows = counts.orderBy(F.desc("count"), "w").limit(size).collect()
+    counts = checkpointed(page.unionByName(url).where(F.length("w").between(1, _LONGEST)).groupBy("w").count())
+    total, least = 0, None  # a large limit would have every task send as many rows: the least count is found first
+    for r in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).toLocalIterator():
+        total += r["n"]
+        if total > size:
+            break
+        least = r["count"]
+    rows = counts.where(F.col("count") >= least).collect() if least is not None else []
     return {r["w"]: r["count"] for r in rows if len(r["w"]) > 1 or r["w"] in "aiyoàéxz"}
 
 
