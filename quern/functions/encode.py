@@ -183,24 +183,24 @@ def postings(df: DataFrame, id_col: str, text_col: str, hashed: bool = True) ->
     return df.select(id_col, F.explode(T.words(F.col(text_col))).alias("word")).groupBy(id_col, term.alias("term")).agg((1 + F.ln(F.count("*"))).alias("weight"))
 
 
-# -- signatures --------------------------------------------------------------------
+# signatures
 
 
-def uniforms(seed: int, n: int) -> np.ndarray:
+def uniform_stream(seed: int, count: int) -> np.ndarray:
     """A counter-based stream of uniform numbers (SplitMix64's output function)."""
     with np.errstate(over="ignore"):
-        z = np.uint64(seed % 2**64) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = np.uint64(seed % 2**64) + (np.arange(count, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
         z ^= z >> np.uint64(31)
-    return (z >> np.uint64(11)).astype(np.float64) / 2.0**53
+    return (z // np.uint64(2048)) / 2.0**53
 
 
 @lru_cache(maxsize=8)
 def hyperplanes(seed: int, rows: int, columns: int) -> np.ndarray:
-    u = uniforms(seed, 2 * rows * columns)
-    radius = np.sqrt(-2.0 * np.log(np.maximum(u[0::2], 1e-12)))
-    return (radius * np.cos(2.0 * np.pi * u[1::2])).astype(np.float32).reshape(rows, columns)
+    u = uniform_stream(seed, 2 * rows * columns).reshape(-1, 2)
+    radius = np.sqrt(-2.0 * np.log(np.maximum(u[:, 0], 1e-12)))
+    return (radius * np.cos(2.0 * np.pi * u[:, 1])).astype(np.float32).reshape(rows, columns)
 
 
 def _packed(rows: np.ndarray, planes: np.ndarray) -> np.ndarray:

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Han, kana, Hangul and compatibility ideographs.
-CJK = "[一-鿿㐀-䶿぀-ゟ゠-ヿ가-힯豈-﫿]"
+CJK = r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff]"
 WORD = r"[\p{L}\p{N}_]+"
 #: Marks that end a sentence, in many scripts.
-STOPS = r"\.!?。！？؟۔।॥։።၊။…"
+STOPS = r"…\.!?。！？।॥؟۔၊။։።"
 _GUARD = ""
 _EDGES = r"(?U)^\s+|\s+$"
 
@@ -34,8 +34,8 @@ def strip(text: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     """normalize without NFKC: numbers broken after a thousands point are joined, blanks collapse, at most one empty line."""
-    joined = F.regexp_replace(text, r"(?U)([0-9])\.\s+([0-9]{3})(?![0-9])", "$1.$2")
-    return strip(F.regexp_replace(F.regexp_replace(joined, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    joined = F.regexp_replace(text, r"(\d)\.(?U:\s+)(\d{3})(?!\d)", "$1.$2")
+    return strip(F.regexp_replace(F.regexp_replace(joined, r"[ \t]+", " "), r"\n\n\n+", "\n\n"))
 
 
 def normalize(text: Column) -> Column:
@@ -51,7 +51,7 @@ def estimate_tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences in order; blank lines always end one, points between digits never do. A paragraph of marks alone is a sentence."""
-    guarded = F.regexp_replace(text, r"(?<=[0-9])\.(?=[0-9])", _GUARD)
+    guarded = F.regexp_replace(text, r"(?<=\d)\.(?=\d)", _GUARD)
     found = rf"(?U)[^{STOPS}\n]+[{STOPS}]*\s*"
 
     def parts(paragraph: Column) -> Column:

@@ -158,7 +158,7 @@ def hash_sample(df: DataFrame, id_col: str, n: int, seed: str = "0") -> DataFram
 
 
 def canonical_hash(value) -> str:
-    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), allow_nan=False, ensure_ascii=False).encode()).hexdigest()
+    return hashlib.sha256(json.dumps(value, ensure_ascii=False, allow_nan=False, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
 
 
 def write_report(value, path: str) -> None:

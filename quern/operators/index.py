@@ -27,7 +27,7 @@ _OWNED = ("vectors", "postings")
 
 def fingerprint(spec: dict) -> str:
     """SHA-256 of what the index was built with, as canonical JSON."""
-    return hashlib.sha256(json.dumps(spec, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
+    return hashlib.sha256(json.dumps(spec, allow_nan=False, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
 
 
 # -- changes as functions on tables; the index applies them and writes the results --

@@ -150,7 +150,7 @@ POSTS = [(10, 1, 1.0), (20, 1, 0.5), (10, 2, 1.0), (30, 2, 2.0), (20, 3, 1.5), (
 def test_sparse_scores(spark):
     posts = spark.createDataFrame(POSTS, "term bigint, chunk_id bigint, weight double")
     universe = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "chunk_id bigint")
-    query = {30: 0.75, 10: 1.25, 20: -0.5, 999: 9.0}
+    query = {10: 1.5, 999: 4.0, 20: -0.75, 30: 0.5}
     q = spark.createDataFrame([(7, t, w) for t, w in query.items()], "query_id bigint, term bigint, weight double")
     df = {10: 3, 20: 2, 30: 2}
     want = {}

@@ -28,7 +28,7 @@ def tokens_of(t):
 
 
 def sentences_of(t):
-    t = re.sub(r"(?<=[0-9])\.(?=[0-9])", "", t)
+    t = re.compile(r"(?<=\d)[.](?=\d)").sub("", t)
     out = []
     for p in filter(None, (p.strip() for p in t.split("\n\n"))):
         own = [s.strip() for s in re.findall(rf"[^{T.STOPS}\n]+[{T.STOPS}]*\s*", p) if s.strip()]
@@ -52,8 +52,8 @@ def grams_of(t, lo, hi):
 def test_normalize(spark):
     def plain(t):
         t = unicodedata.normalize("NFKC", t)
-        t = re.sub(r"([0-9])\.\s+([0-9]{3})(?![0-9])", r"\1.\2", t)
-        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t)).strip()
+        t = re.compile(r"(\d)[.]\s+(\d\d\d)(?!\d)").sub(lambda m: f"{m[1]}.{m[2]}", t)
+        return re.sub(r"\n\n\n+", "\n" * 2, re.sub("[\t ]+", " ", t)).strip()
 
     assert evaluated(spark, T.normalize(F.col("t"))) == [plain(t) for t in TEXTS]
     assert evaluated(spark, T.normalize(F.col("t")), [None]) == [None]
@@ -69,7 +69,7 @@ def test_estimates_sentences_words_ngrams(spark):
 
 def test_titles_contexts_digests(spark):
     title = T.default_title(F.col("t"))
-    assert evaluated(spark, title) == [t[:60].replace("\n", " ") + ("…" if len(t) > 60 else "") for t in TEXTS]
+    assert evaluated(spark, title) == [" ".join(t[:60].split("\n")) + "…" * (len(t) > 60) for t in TEXTS]
     assert evaluated(spark, T.context(F.lit("T"), F.col("t"), F.lit(True)), ["has T", "none"]) == ["has T", "[T] none"]
     assert evaluated(spark, T.context(F.lit("T"), F.col("t"), F.lit(False)), ["has T"]) == ["[T] has T"]
     long = "".join(chr(97 + i % 26) for i in range(25_003))
