@@ -8,6 +8,11 @@ fingerprint (2 x 56 lists of 24 bits). Any pair that shares five bytes has three
 pairs within 11 bits are found for certain, and pairs of 12 to `max_distance` bits whenever three of their
 shared bytes lie in one half. Pairs that meet have their shared bytes tallied, are dropped below the least number that
 the index guarantees, and are verified by their exact Hamming distance.
+
+Two texts whose distinct words overlap by 0.8 (Jaccard) lie 19.4 bits apart in the mean, with a standard deviation of 4.1, and share too few bytes for
+that index. Each text is therefore in further lists, under the least hashes of its words (20 bands of 6): at overlap 0.8 a pair meets there with
+probability 0.998, whatever its distance. Pairs that meet there within max_distance bits are taken as they are; those up to `far_distance`
+bits apart (mean and three deviations) if the exact overlap of their distinct words is at least `overlap`.
 """
 
 from __future__ import annotations
@@ -29,10 +34,18 @@ from .graph import components
 
 BYTES = 16
 MAX_DISTANCE = 18
+#: Farther pairs count if their distinct words overlap by OVERLAP at least.
+FAR_DISTANCE, OVERLAP = 31, 0.8
+#: Lists by least hashes: BANDS of WIDTH.
+BANDS, WIDTH = 20, 6
+_ODD = np.random.default_rng(7).integers(1, 1 << 63, BANDS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.random.default_rng(8).integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Positional triples: three of any five shared bytes lie in one half.
 TRIPLES = np.array([t for half in (range(8), range(8, 16)) for t in itertools.combinations(half, 3)], np.int64)
 #: A pair in a list of triples shares as many positional bytes.
 LEAST_SHARED = 3
+#: Keys of bands begin here, those of triples end far below.
+FIRST_BAND = 1 << 62
 
 
 class Words:
@@ -69,6 +82,10 @@ class Words:
         self.hashes = np.concatenate([self.hashes, np.frombuffer(raw, np.uint8).reshape(-1, BYTES)])
 
     def fingerprints(self, texts: list[str]) -> list[bytes]:
+        return self.sketches(texts)[0]
+
+    def sketches(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Fingerprints, and the keys of the bands' lists (8 bytes each, none for a text without words)."""
         if len(self.ids) > self.CAP:
             self.clear()
         keys: list[str] = []
@@ -87,6 +104,7 @@ class Words:
         pairs = np.unique(np.repeat(np.arange(len(texts)), n) * width + words)
         doc, word = pairs // width, pairs % width
         out = np.zeros((len(texts), BYTES), np.uint8)
+        bands = np.zeros((len(texts), BANDS), np.int64)
         if len(pairs):
             heads = np.flatnonzero(np.diff(doc, prepend=-1))
             ends = np.append(heads[1:], len(doc))
@@ -97,11 +115,12 @@ class Words:
                 votes = _votes(self.hashes, word[rows], heads[at:to] - heads[at])
                 size = (ends[at:to] - heads[at:to])[:, None]
                 out[doc[heads[at:to]]] = np.packbits(2 * votes > size, axis=1)
+                bands[doc[heads[at:to]]] = _bands(self.hashes, word[rows], heads[at:to] - heads[at])
                 at = to
         result = [r.tobytes() for r in out]
         for i in np.flatnonzero(n == 0).tolist():  # no words: equal texts only
             result[i] = xxhash.xxh3_128_digest(" ".join(texts[i].split())) if texts[i].split() else bytes(BYTES)
-        return result
+        return result, [b"" if m == 0 else b.tobytes() for m, b in zip(n.tolist(), bands)]
 
 
 def _votes(hashes: np.ndarray, word: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -114,21 +133,33 @@ def _votes(hashes: np.ndarray, word: np.ndarray, heads: np.ndarray) -> np.ndarra
     return np.add.reduceat(np.unpackbits(hashes[word], axis=1), heads, axis=0, dtype=np.int32)
 
 
+def _bands(hashes: np.ndarray, word: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """For each text the keys of its bands' lists: hashes of the least hashes of its words; above all keys of triples."""
+    words = np.ascontiguousarray(hashes[word, :8]).view(np.uint64).ravel()
+    out = np.zeros((len(heads), BANDS), np.uint64)
+    for i in range(BANDS * WIDTH):
+        least = np.minimum.reduceat(words * _ODD[i], heads)
+        out[:, i // WIDTH] = (out[:, i // WIDTH] ^ (least >> np.uint64(29)) ^ least) * _MIX[i % WIDTH]
+    out = (out ^ out >> np.uint64(31)) * _ODD[:BANDS]
+    return (out >> np.uint64(2) | np.uint64(FIRST_BAND)).astype(np.int64)
+
+
 def _fingerprint_piece(batch: pa.RecordBatch) -> pa.RecordBatch:
     texts = batch.column(2).to_pylist()
     at = [i for i, t in enumerate(texts) if t is not None]
     found: list[bytes | None] = [None] * len(texts)
-    for i, fp in zip(at, kept(("simhash",), Words).fingerprints([texts[i] for i in at])):
-        found[i] = fp
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "row", "fp"])
+    bands: list[bytes | None] = [None] * len(texts)
+    for i, fp, b in zip(at, *kept(("simhash",), Words).sketches([texts[i] for i in at])):
+        found[i], bands[i] = fp, b
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(bands, pa.binary())], names=["id", "row", "fp", "bands"])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, fp BINARY) of every row of df: row is a hash of the text, fp null for a null text."""
+    """(id, row, fp BINARY, bands BINARY) of every row of df: row is a hash of the text, fp and bands null for a null text."""
     ensure_importable(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     text = df[text_col].cast("string")
-    return df.select(df[id_col].alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(over_pieces(_fingerprint_piece, 2), f"id {kind}, row bigint, fp binary")
+    return df.select(df[id_col].alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(over_pieces(_fingerprint_piece, 2), f"id {kind}, row bigint, fp binary, bands binary")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +167,15 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             column = batch.column(0).slice(at, 2000)
+            own = batch.column(1).slice(at, 2000).to_pylist()
             fps = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES)
             b = fps.astype(np.int64)
             key = np.arange(t) << 24 | b[:, TRIPLES[:, 0]] << 16 | b[:, TRIPLES[:, 1]] << 8 | b[:, TRIPLES[:, 2]]
-            halves = np.repeat(fps.view(">i8").astype(np.int64), t, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["key", "hi", "lo"])
+            parts = fps.view(">i8").astype(np.int64)
+            bands = np.frombuffer(b"".join(own), np.int64)
+            count = np.fromiter(map(len, own), np.int64, len(own)) // 8
+            halves = np.concatenate([np.repeat(parts, t, axis=0), np.repeat(parts, count, axis=0)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key.ravel(), bands])), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["key", "hi", "lo"])
 
 
 def _matches(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
@@ -181,6 +216,21 @@ def _bucket_edges(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: i
             rows = rest[~ok]
 
 
+def _band_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, far: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of rows in each run [start, end) that are up to `far` bits apart but not equal, with their distances."""
+    halves = np.ascontiguousarray(fps).view(np.uint64)
+    last = np.repeat(ends, ends - starts)
+    rows = np.repeat(starts, ends - starts) + np.arange(len(last)) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts)
+    for shift in range(1, int((ends - starts).max(initial=0))):
+        more = rows + shift < last
+        rows, last = rows[more], last[more]
+        for at in range(0, len(rows), 500_000):
+            a = rows[at : at + 500_000]
+            bits = np.bitwise_count(halves[a] ^ halves[a + shift]).sum(1)
+            ok = (bits > 0) & (bits <= far)
+            yield a[ok], a[ok] + shift, bits[ok]
+
+
 class _Forest:
     """Edges of a task, less those between rows that are connected already."""
 
@@ -206,7 +256,7 @@ class _Forest:
         return True
 
 
-def _edges(most: int):
+def _edges(most: int, far: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, size = _Forest(), 0
         held_k, held_f = np.zeros(0, np.int64), np.zeros((0, BYTES), np.uint8)
@@ -214,13 +264,34 @@ def _edges(most: int):
         def work(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
             cut = np.flatnonzero(np.diff(keys)) + 1
             starts, ends = np.concatenate([[0], cut]), np.append(cut, len(keys))
-            found: list[tuple[bytes, bytes]] = []
-            for a, b in _bucket_edges(fps, starts, ends, most):
+            found: list[tuple[bytes, bytes, bool]] = []
+            triples = keys[starts] < FIRST_BAND
+            for a, b in _bucket_edges(fps, starts[triples], ends[triples], most):
                 for x, y in zip(a.tolist(), b.tolist()):
                     p, q = fps[x].tobytes(), fps[y].tobytes()
                     if forest.add(p, q):
-                        found.append((p, q))
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"]) if found else None
+                        found.append((p, q, True))
+            apart: set[tuple[bytes, bytes]] = set()
+            long = ~triples & (ends - starts > 64)  # rows of long lists are labelled with their groups from time to time
+            rows_of_long = [i for s, e in zip(starts[long].tolist(), ends[long].tolist()) for i in range(s, e)]
+            label, since = np.arange(len(fps)), len(fps)
+            for a, b, bits in _band_pairs(fps, starts[~triples], ends[~triples], far):
+                if rows_of_long and since > 2 * len(rows_of_long):
+                    ids: dict[bytes, int] = {}
+                    label[rows_of_long] = [-1 - ids.setdefault(forest.root(fps[i].tobytes()), len(ids)) for i in rows_of_long]
+                    since = 0
+                new = label[a] != label[b]
+                a, b, bits = a[new], b[new], bits[new]
+                since += len(a)
+                for x, y, n in zip(a.tolist(), b.tolist(), bits.tolist()):
+                    p, q = fps[x].tobytes(), fps[y].tobytes()
+                    if n > most:
+                        if forest.root(p) != forest.root(q):
+                            apart.add((min(p, q), max(p, q)))
+                    elif forest.add(p, q):
+                        found.append((p, q, True))
+            found += [(p, q, False) for p, q in sorted(apart) if forest.root(p) != forest.root(q)]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.binary()), pa.array([y for _, y, _ in found], pa.binary()), pa.array([z for _, _, z in found], pa.bool_())], names=["a", "b", "near"]) if found else None
 
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         rows = 0
@@ -253,41 +324,78 @@ def _edges(most: int):
     return run
 
 
-def fingerprint_edges(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints (column fp) that lie within max_distance bits, as far as they share
-    the positional bytes of a list; pairs whose ends are connected already may be left out."""
+def fingerprint_edges(fps: DataFrame, max_distance: int = MAX_DISTANCE, far_distance: int = FAR_DISTANCE) -> DataFrame:
+    """Edges (a, b, near) between the distinct fingerprints of fps (fp, bands). Near ones connect those within max_distance bits, as far as they share
+    the positional bytes of a list or a band; the others share a band, are up to far_distance bits apart and are to be verified. Pairs whose ends
+    are connected already may be left out."""
     posts = fps.mapInArrow(_postings, "key bigint, hi bigint, lo bigint")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return posts.repartition(max(n, 1), "key").sortWithinPartitions("key").mapInArrow(_edges(max_distance), "a binary, b binary")
+    return posts.repartition(max(n, 1), "key").sortWithinPartitions("key").mapInArrow(_edges(max_distance, far_distance), "a binary, b binary, near boolean")
+
+
+def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import re
+
+    find = re.compile(r"\w+").findall
+    for batch in batches:
+        sets = [np.unique(np.array([xxhash.xxh3_64_intdigest(w) for w in set(find(t.lower()))], np.uint64)).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["row", "words"])
+
+
+def _overlapping(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= least * (len(x) + len(y) - both))
+            kept = batch.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sigs: DataFrame, df: DataFrame, text_col: str, overlap: float) -> DataFrame:
+    """Pairs (a, b) of fingerprints whose texts' distinct words overlap enough; of the texts with one fingerprint, one decides."""
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    rows = checkpointed(sigs.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("row").alias("row")))
+    text = df[text_col].cast("string")
+    texts = df.select(F.xxhash64(text).alias("row"), text.alias("text")).where("text is not null").join(rows.select("row"), "row", "left_semi").dropDuplicates(["row"])
+    sets = checkpointed(texts.mapInArrow(_word_sets, "row bigint, words binary").join(rows, "row").select("fp", "words"))
+    left, right = sets.select(F.col("fp").alias("a"), F.col("words").alias("x")), sets.select(F.col("fp").alias("b"), F.col("words").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_overlapping(overlap), "a binary, b binary")
 
 
-def _grouped(df: DataFrame, id_col: str, text_col: str, max_distance: int) -> DataFrame:
+def _grouped(df: DataFrame, id_col: str, text_col: str, max_distance: int, far_distance: int, overlap: float) -> DataFrame:
     """(id, row, place, first) of every row with a text: place counts within its group from 1, first is the id at place 1."""
     sigs = checkpointed(fingerprints(df, id_col, text_col).where("fp is not null"))
-    roots = components(fingerprint_edges(sigs.select("fp").distinct(), max_distance)).select(F.col("node").alias("fp"), "root")
+    edges = checkpointed(fingerprint_edges(sigs.select("fp", "bands").distinct(), max_distance, far_distance))
+    far = _verified(edges.where("not near").select("a", "b").distinct(), sigs, df, text_col, overlap)
+    roots = components(edges.where("near").select("a", "b").union(far)).select(F.col("node").alias("fp"), "root")
     named = sigs.join(roots, "fp", "left").select("id", "row", F.coalesce("root", "fp").alias("grp"))
     group = Window.partitionBy("grp").orderBy(F.col("id").asc_nulls_last(), "row")
     return named.select("id", "row", F.row_number().over(group).alias("place"), F.first("id").over(group).alias("first"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, far_distance: int = FAR_DISTANCE, overlap: float = OVERLAP) -> DataFrame:
     """(id_col, duplicate_of) for every row that has a near-copy with a smaller id: duplicate_of is the smallest id of its group.
 
-    Groups are the connected components of "within max_distance bits". Rows without a near-copy aren't in the result.
+    Groups are the connected components of "within max_distance bits, or within far_distance bits and with distinct words that overlap by `overlap`". Rows without a near-copy aren't in the result.
     A null text is in no group. Texts without a word (empty, white space, punctuation) form groups of equal texts up to white space.
     Repeated rows are near-copies of each other: all but one are in the result, even with the same id. A null id comes last
     in its group. Other columns of df, whatever their names, are ignored; an empty table gives no rows. Texts are read whole.
     """
-    out = _grouped(df, id_col, text_col, max_distance).where("place > 1")
+    out = _grouped(df, id_col, text_col, max_distance, far_distance, overlap).where("place > 1")
     return out.select(F.col("id").alias(id_col), F.col("first").alias("duplicate_of"))
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, far_distance: int = FAR_DISTANCE, overlap: float = OVERLAP) -> DataFrame:
     """df with one row of each group of near_duplicates, that with the smallest id, and all rows with a null text.
 
     All columns stay as they are. Of rows with the same id and text one stays. Nulls, empty texts and tables: as in near_duplicates.
     """
-    kept = _grouped(df, id_col, text_col, max_distance).where("place = 1")
+    kept = _grouped(df, id_col, text_col, max_distance, far_distance, overlap).where("place = 1")
     tag = uuid.uuid4().hex[:8]
     row, key, text_row, n = (f"_{x}_{tag}" for x in ("row", "key", "text_row", "n"))
     docs = df.withColumn(row, F.xxhash64(df[text_col].cast("string")))

@@ -92,6 +92,22 @@ def test_pairs_within_eleven_bits_always_meet():
         assert simhash._matches(a[None], b[None], 11).all()
 
 
+def test_copies_farther_apart_are_found_by_word_overlap(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    while len(want) < 30:
+        words = [f"w{x}" for x in rng.choice(100_000, 200, replace=False)]
+        copy = words[:182] + [f"v{x}" for x in rng.choice(100_000, 18, replace=False)]
+        a, b = (np.frombuffer(x, np.uint8) for x in simhash.Words().fingerprints([" ".join(words), " ".join(copy)]))
+        if np.bitwise_count(a ^ b).sum() > simhash.MAX_DISTANCE:  # overlap 0.83
+            i = len(rows)
+            rows += [(i, " ".join(words)), (i + 1, " ".join(copy)), (i + 2, " ".join(words[:140] + [f"u{x}" for x in rng.choice(100_000, 60, replace=False)]))]
+            want[i + 1] = i
+    got = {r.doc_id: r.duplicate_of for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert sum(got.get(d) == r for d, r in want.items()) >= 28
+    assert all(d % 3 == 1 for d in got)  # overlap 0.54 isn't enough
+
+
 def test_simhash_edge_cases(spark):
     prose = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
     rows = [(1, prose), (2, prose + "."), (3, None), (4, ""), (5, "   "), (6, "?!"), (7, "?!"), (8, "something else entirely here"), (None, prose), (2, prose + "."), (9, LONG), (10, LONG + " end"), (11, None)]
