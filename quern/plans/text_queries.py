@@ -67,11 +67,11 @@ def hash_postings(spark, sf):
 
 
 def hash_encode(spark, sf):
-    return E.encode(table(spark, sf, "benchmark"), "item_id", "text")
+    return E.encode(_documents(spark, sf), "doc_id", "text")
 
 
 def index_signatures(spark, sf):
-    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("ctx"))
+    rows = _documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("ctx"))
     return I.index_vectors(rows).drop("dense", "tokens")
 
 
