@@ -108,6 +108,15 @@ def paired_bootstrap(pairs: DataFrame, samples: int = SAMPLES, seed: int = SEED,
     return means.agg(ends.alias("p")).select(F.lit(len(rows)).cast("bigint").alias("n"), F.lit(float(rows.mean())).alias("delta"), F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
+def weighted_percentile(values: np.ndarray, times: np.ndarray, point: float) -> float:
+    """np.percentile of sorted values, each repeated so many times."""
+    ends = np.cumsum(times)
+    at = point * (int(ends[-1]) - 1)
+    low = int(at)
+    a, b = values[np.searchsorted(ends, [low, min(low + 1, int(ends[-1]) - 1)], side="right")]
+    return float(a + (b - a) * (at - low))
+
+
 def clustered_percentile(samples: DataFrame, cluster: str, value: str, point: float = 0.95, draws: int = SAMPLES, seed: int = SEED, chunk: int = 100) -> DataFrame:
     """(point, low, high): a percentile of value with its 95 % interval; whole clusters (a query with all its repetitions) are drawn with replacement."""
     spark = ensure_importable(samples.sparkSession)
@@ -115,14 +124,17 @@ def clustered_percentile(samples: DataFrame, cluster: str, value: str, point: fl
     groups = [np.array(r.v) for r in rows]
     if not groups:
         return spark.createDataFrame([], "point double, low double, high double")
-    sent = spark.sparkContext.broadcast(groups)
+    # a draw weights the sorted values by how often their cluster is drawn: nothing is joined or sorted for each draw
+    joined = np.concatenate(groups)
+    order = np.argsort(joined, kind="stable")
+    sent = spark.sparkContext.broadcast((joined[order], np.repeat(np.arange(len(groups)), [len(g) for g in groups])[order], len(groups)))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = sent.value
+        values, owner, n = sent.value
         for batch in batches:
             for i in batch["id"]:
                 rng = np.random.default_rng([seed, int(i)])
-                yield pd.DataFrame({"q": [float(np.percentile(np.concatenate([own[j] for j in rng.integers(0, len(own), len(own))]), point * 100)) for _ in range(min(chunk, draws - int(i) * chunk))]})
+                yield pd.DataFrame({"q": [weighted_percentile(values, np.bincount(rng.integers(0, n, n), minlength=n)[owner], point) for _ in range(min(chunk, draws - int(i) * chunk))]})
 
     qs = spark.range(-(-draws // chunk)).mapInPandas(draw, "q double")
     whole = float(np.percentile(np.concatenate(groups), point * 100))

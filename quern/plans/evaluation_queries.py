@@ -79,7 +79,7 @@ def bootstrap_ci(spark, sf):
 
 
 def latency_bootstrap(spark, sf):
-    return V.clustered_percentile(table(spark, sf, "events"), "user_id", "value", draws=200)
+    return V.clustered_percentile(table(spark, sf, "events"), "user_id", "value")
 
 
 QUERIES = {f.__name__: f for f in (retrieval_metrics, macro_metrics, fact_coverage, duplicate_rate, no_answer, citation_precision, latency_percentiles, stage_report, lineage_violations, bootstrap_ci, latency_bootstrap)}
