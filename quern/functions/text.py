@@ -108,7 +108,7 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(F.lower(strip(F.regexp_replace(text, r"(?U)\s+", " "))), 256)
 
 
-def numbered(texts: Column, longest: int = 1200) -> Column:
+def numbered(texts: Column, longest: int = 6500) -> Column:
     """Texts, cut to a length, as one numbered text."""
     return F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.substring(t, F.lit(1), F.lit(longest)))), "\n\n")
 

@@ -177,3 +177,7 @@ def test_vector_expressions(spark):
     r = df.select(V.dot(F.col("a"), F.col("b")), V.maxsim(F.col("q"), F.col("d")), V.unit(F.col("z")), V.sign_words(F.col("b"), 2), V.weighted_sum(F.array("a", "b")), V.maxsim(F.col("q"), F.array().cast("array<array<double>>"))).first()
     assert r[0] == 1.0 and abs(r[1] - 0.7) < 1e-12 and r[2] == [0.0, 0.0] and r[3] == [-(2**63)] and r[5] == 0.0
     assert np.allclose(r[4], np.array([4, 1]) / np.sqrt(17))
+
+
+def test_numbered_keeps_6500_characters(spark):
+    assert evaluated(spark, T.numbered(F.split("t", ",")), ["a" * 6500 + "," + "b" * 6501]) == ["[1] " + "a" * 6500 + "\n\n[2] " + "b" * 6500]
