@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from ..session import checkpointed, ensure_importable
 
 SEEDS = ("casino", "bets", "betting", "poker", "pills", "viagra", "pharma", "spam", "adult", "porn", "xxx", "sex", "ads", "malware", "phishing")
-#: Words of the unigram model: the most frequent of all that occur (a parameter of the model; counts are over all pages).
-VOCABULARY = 50_000
 _LONGEST = 24
 _GENERIC = frozenset("www com net org http https html htm php index".split())
 _UNKNOWN, _NUMBER = "<unk>", "<num>"
@@ -35,8 +33,9 @@ def host_and_path(url: str) -> tuple[str, str]:
 class Segmenter:
     """Splits runs of letters into the most likely words of a unigram model."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + len(counts) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """total: of the whole model, if counts are those of a part of it."""
+        total = total or sum(counts.values()) + len(counts) + 1
         self.cost = {w: -math.log((c + 1) / total) for w, c in counts.items()}
         # an unknown stretch costs more than a word of the model for every letter
         self.unknown, self.letter = math.log(total), math.log(26) + 1.0
@@ -71,82 +70,112 @@ class Segmenter:
 
     def tokens(self, url: str) -> tuple[list[str], list[str], list[str]]:
         """Delimited words of the host, segmented words of the host (less the top-level domain and www), and of the path."""
-        host, path = host_and_path(url)
-        labels = host.split(".")
-        runs = [r for label in labels[: max(1, len(labels) - 1)] for r in _RUNS.findall(label) if r not in _GENERIC]
-        first = [_NUMBER if r.isdigit() else r for r in runs]
-        split = [w for r in runs for w in ([_NUMBER] if r.isdigit() else self.words(r))]
-        rest = [w for r in _RUNS.findall(path.lower()) if r not in _GENERIC for w in ([_NUMBER] if r.isdigit() else self.words(r))]
-        return first, split, rest
-
-
-def unigrams(df: DataFrame, text_col: str, url_col: str, size: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the most frequent words of the pages' text (tags removed), and of the words of URL parts that a delimiter splits in two or more.
-    The least count that leaves up to `size` words decides; words of equal count are all in or all out.
+        host, path = url_runs(url)
+        split, rest = ([w for r in runs for w in ([r] if r == _NUMBER else self.words(r))] for runs in (host, path))
+        return host, split, rest
+
+
+def url_runs(url: str) -> tuple[list[str], list[str]]:
+    """Runs of letters, and marks of numbers, of the host (less the top-level domain and www) and of the path."""
+    host, path = host_and_path(url)
+    labels = host.split(".")
+    runs = [r for label in labels[: max(1, len(labels) - 1)] for r in _RUNS.findall(label)], _RUNS.findall(path.lower())
+    first, rest = ([_NUMBER if r.isdigit() else r for r in part if r not in _GENERIC] for part in runs)
+    return first, rest
+
+
+def word_counts(df: DataFrame, text_col: str, url_col: str, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+    """(w, count) of all words of the pages' text (tags removed), of the words of URL parts that a delimiter splits in two or more, and of the seeds (0 if they don't occur).
     A part that is one run of letters may be several words and tells nothing."""
     text = F.regexp_replace(F.coalesce(df[text_col].cast("string"), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>|&\w+;", " ")
     page = df.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w"))
     part = df.select(F.explode(F.split(F.lower(df[url_col].cast("string")), r"[./:?#&=@]+")).alias("p")).select(F.regexp_extract_all("p", F.lit(r"\p{L}+"), F.lit(0)).alias("ws"))
     url = part.where(F.size("ws") > 1).select(F.explode("ws").alias("w"))
-    counts = checkpointed(page.unionByName(url).where(F.length("w").between(1, _LONGEST)).groupBy("w").count())
-    total, least = 0, None  # a large limit would have every task send as many rows: the least count is found first
-    for r in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).toLocalIterator():
-        total += r["n"]
-        if total > size:
-            break
-        least = r["count"]
-    rows = counts.where(F.col("count") >= least).collect() if least is not None else []
-    return {r["w"]: r["count"] for r in rows if len(r["w"]) > 1 or r["w"] in "aiyoàéxz"}
-
-
-def score_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", seeds: tuple[str, ...] = SEEDS, alpha: float = 0.5, threshold: float = 0.0, vocabulary: int = VOCABULARY) -> DataFrame:
+    words = page.unionByName(url).where(F.length("w").between(1, _LONGEST) & ((F.length("w") > 1) | F.col("w").isin(*"aiyoàéxz"))).groupBy("w").count()
+    always = df.sparkSession.createDataFrame([(w, 0) for w in seeds], "w string, count bigint")
+    return checkpointed(words.unionByName(always).groupBy("w").agg(F.sum("count").alias("count")))
+
+
+def unigrams(df: DataFrame, text_col: str, url_col: str, size: int | None = None) -> dict[str, int]:
+    """word_counts of a small table, collected; with a size, up to so many of the most frequent words (of equal counts all or none)."""
+    counts = {r["w"]: r["count"] for r in word_counts(df, text_col, url_col).collect()}
+    if size is None or len(counts) <= size:
+        return counts
+    least = sorted(counts.values(), reverse=True)[size]
+    return {w: n for w, n in counts.items() if n > least}
+
+
+def _runs(bad: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [url_runs(u) for u in batch.column(0).to_pylist()]
+            runs = pa.array([h + p for h, p in both], pa.list_(pa.string()))
+            label = pa.array([bool(bad.intersection(h)) for h, _ in both], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), runs, pa.array([len(h) for h, _ in both], pa.int32()), label], names=["url", "n", "runs", "n_host", "label"])
+
+    return run
+
+
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for run in batch.column(0).to_pylist():
+            found = list({run[i:k] for i in range(len(run)) for k in range(i + 1, min(len(run), i + _LONGEST) + 1)})
+            yield pa.RecordBatch.from_arrays([pa.array([run] * len(found), pa.string()), pa.array(found, pa.string())], names=["run", "w"])
+
+
+def _segments(total: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, known = [], []
+            for r, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                model = Segmenter({x["w"]: x["count"] for x in own or ()}, total)
+                words.append(model.words(r))
+                known.append([w if w in model.cost else _UNKNOWN for w in words[-1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(known, pa.list_(pa.string()))], names=["run", "words", "known"])
+
+    return run
+
+
+def score_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", seeds: tuple[str, ...] = SEEDS, alpha: float = 0.5, threshold: float = 0.0) -> DataFrame:
     """(id_col, url, host_words ARRAY<STRING>, score DOUBLE, blocked BOOLEAN) of every row of df.
 
     score is the log odds of unwanted against wanted, with Laplace smoothing alpha; blocked whether it is above the threshold. A null URL has
     nulls and isn't blocked; an empty URL, or one without words, has the prior odds alone. Repeated rows and null ids are kept and counted each; a null
     page text adds no words; a column of df that has a result's name is ignored unless it is the one read; an empty table gives no
-    rows. Without any seed word in the table nothing is blocked. URLs and texts are read whole; the word models have a bounded size.
+    rows. Without any seed word in the table nothing is blocked. URLs and texts are read whole. All words count, and words meet
+    counts and weights by joins, so that neither model is cut or collected; work is on distinct URLs and on distinct runs of letters.
     """
     spark = ensure_importable(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    counts = spark.sparkContext.broadcast(unigrams(df, text_col, url_col, vocabulary))
-    bad = frozenset(seeds)
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Segmenter(counts.value)
-        known = model.cost
-        for batch in batches:
-            hosts, words, label = [], [], []
-            for url in batch.column(1).to_pylist():
-                if url is None:
-                    hosts.append(None)
-                    words.append(None)
-                    label.append(None)
-                    continue
-                plain, host, path = model.tokens(url)
-                hosts.append(host)
-                words.append([w if w in known or w == _NUMBER else _UNKNOWN for w in (*host, *path)])
-                label.append(bool(bad.intersection(plain)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.list_(pa.string())), pa.array(words, pa.list_(pa.string())), pa.array(label, pa.bool_())], names=["id", "url", "host", "words", "label"])
-
+    counts = word_counts(df, text_col, url_col, seeds)
+    total = counts.agg(F.coalesce(F.sum(F.col("count") + 1), F.lit(0))).first()[0] + 1
     rows = df.select(df[id_col].alias("id"), df[url_col].cast("string").alias("url"))
-    rows = checkpointed(rows.mapInArrow(split, f"id {kind}, url string, host array<string>, words array<string>, label boolean"))
-    prior = {r.label: r.n for r in rows.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    each = checkpointed(rows.where("url is not null").groupBy("url").agg(F.count("*").alias("n")).mapInArrow(_runs(frozenset(seeds)), "url string, n bigint, runs array<string>, n_host int, label boolean"))
+
+    runs = checkpointed(each.select(F.explode("runs").alias("run")).where(F.col("run") != _NUMBER).distinct())
+    found = runs.mapInArrow(_substrings, "run string, w string").join(counts, "w").groupBy("run").agg(F.collect_list(F.struct("w", "count")).alias("own"))
+    split = runs.join(found, "run", "left").select("run", "own").mapInArrow(_segments(total), "run string, words array<string>, known array<string>")
+    split = split.unionByName(spark.createDataFrame([(_NUMBER, [_NUMBER], [_NUMBER])], split.schema))
+    placed = each.select("url", "n_host", F.posexplode("runs").alias("pos", "run")).join(split, "run")
+    joined = placed.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("pos", "words", "known", (F.col("pos") < F.col("n_host")).alias("host")))).alias("x"))
+    host = F.flatten(F.transform(F.filter("x", lambda p: p["host"]), lambda p: p["words"]))
+    known = F.flatten(F.transform("x", lambda p: p["known"]))
+    none = F.array().cast("array<string>")
+    words = joined.select("url", host.alias("host_words"), known.alias("words"))
+    words = checkpointed(each.select("url", "n", "label").join(words, "url", "left").select("url", "n", "label", F.coalesce("host_words", none).alias("host_words"), F.coalesce("words", none).alias("words")))
+
+    prior = {r.label: r.n for r in words.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     if prior.get(True):
-        per = rows.where("label is not null").select("label", F.explode("words").alias("w")).groupBy("w").agg(F.count_if("label").alias("bad"), F.count_if(~F.col("label")).alias("good")).collect()
-        table = {r.w: (r.bad, r.good) for r in per}  # at most `vocabulary` words and two marks
-        n_bad, n_good, v = sum(b for b, _ in table.values()), sum(g for _, g in table.values()), len(table) + 1
-        odds = {w: math.log((b + alpha) / (n_bad + alpha * v)) - math.log((g + alpha) / (n_good + alpha * v)) for w, (b, g) in table.items()}
-        base = math.log((prior.get(True, 0) + alpha) / (prior.get(False, 0) + alpha))
+        per = words.select("n", "label", F.explode("words").alias("w")).groupBy("w").agg(F.sum(F.when(F.col("label"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label"), 0).otherwise(F.col("n"))).alias("good"))
+        per = checkpointed(per)
+        n_bad, n_good, v = per.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count("*") + 1).first()
+        odds = F.log((F.col("bad") + alpha) / (n_bad + alpha * v)) - F.log((F.col("good") + alpha) / (n_good + alpha * v))
+        base = math.log((prior[True] + alpha) / (prior.get(False, 0) + alpha))
+        of = words.select("url", F.explode("words").alias("w")).join(per.select("w", odds.alias("o")), "w").groupBy("url").agg(F.array_sort(F.collect_list("o")).alias("o"))
+        scored = words.select("url", "host_words").join(of, "url", "left")
+        scored = scored.select("url", "host_words", (F.lit(base) + F.coalesce(F.aggregate("o", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))).alias("score"))
     else:
-        odds, base = {}, -math.inf
-    weights = spark.sparkContext.broadcast((odds, base))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, start = weights.value
-        for batch in batches:
-            s = [None if w is None else max(start, -1e6) + math.fsum(of.get(x, 0.0) for x in w) for w in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(s, pa.float64()), pa.array([x is not None and x > threshold for x in s])], names=["id", "url", "host_words", "score", "blocked"])
-
-    out = rows.mapInArrow(score, f"id {kind}, url string, host_words array<string>, score double, blocked boolean")
-    return out.select(F.col("id").alias(id_col), "url", "host_words", "score", "blocked")
+        scored = words.select("url", "host_words", F.lit(-1e6).alias("score"))
+    out = rows.where("url is not null").join(scored, "url").select("id", "url", "host_words", "score", (F.col("score") > threshold).alias("blocked"))
+    nulls = rows.where("url is null").select("id", "url", F.lit(None).cast("array<string>").alias("host_words"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("blocked"))
+    return out.unionByName(nulls).select(F.col("id").alias(id_col), "url", "host_words", "score", "blocked")

@@ -140,6 +140,18 @@ def test_joined_names_are_found(spark):
     assert got[26].host_words[:2] == ["garden", "club"] and not got[26].blocked
 
 
+def test_rare_words_and_seeds_count_in_a_large_vocabulary(spark):
+    def word(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    filler = " ".join(w for w in map(word, range(30_000)) for _ in range(2)) + " " + " ".join(w + "q" for w in map(word, range(30_000)) for _ in range(2))
+    pages = [("http://zebrafish-viagra.example.com/buy", "zebrafish"), ("http://zebrafishviagra.example.net/buy", ""), ("http://garden-club.example.org/meets", filler)]
+    rows = [(i, u, t) for i, (u, t) in enumerate(pages)]
+    got = {r.page_id: r for r in urls.score_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1].host_words[:2] == ["zebrafish", "viagra"]
+    assert got[1].score > got[2].score
+
+
 def test_url_edge_cases(spark):
     rows = [(1, None, "x"), (2, "", None), (3, "http://casino.example.com/", ""), (3, "http://casino.example.com/", ""), (None, "http://fine.example.com/a", "fine words"), (4, "http://" + "a" * 20_000 + ".com/", None), (5, "not a url", ""), (6, "http://пример.рф/страница", "страница")]
     df = spark.createDataFrame([(*r, 1.5, "c", True) for r in rows], "page_id bigint, url string, html string, score double, words string, label boolean")
