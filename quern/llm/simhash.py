@@ -191,7 +191,7 @@ def _bucket_edges(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: i
     """Pairs of rows in each run [start, end) of rows with one key. In a run of up to 64 every pair is checked. In a longer one
     all rows are checked against the first; those that match it are in its group already, so only
     pairs with a row that doesn't match are left. The next such row is checked against all rows but the leads before it, and so
-    on: the groups come out as if all pairs were checked."""
+    on. Two rows that are no leads and match different leads aren't compared, so a chain through them is found only if another list has it."""
     size = ends - starts
     short = (size > 1) & (size <= 64)
     if short.any():
