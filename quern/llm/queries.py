@@ -19,7 +19,7 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ego.near_pairs(table(spark, sf_dir, "embeddings"))
+    return ego.near_classes(table(spark, sf_dir, "embeddings"))
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +51,15 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
-p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id)
-SELECT * FROM p WHERE cosine >= 0.95
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE round(list_cosine_similarity(a.e, b.e), 6) >= 0.95),
+reach(id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, p.b FROM reach r JOIN p ON r.other = p.a),
+classes AS (SELECT id, min(other) AS class_id FROM reach GROUP BY id),
+links AS (SELECT a AS id, count(*) AS n FROM p GROUP BY a)
+SELECT t.vec_id, c.class_id, CASE WHEN c.id IS NOT NULL THEN CAST(coalesce(l.n, 0) AS BIGINT) END AS n_links
+FROM embeddings t LEFT JOIN classes c ON t.vec_id = c.id LEFT JOIN links l ON t.vec_id = l.id
 """
 
 OP9_SQL = """

@@ -133,45 +133,86 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, id string, v int, y int, block int")
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_grid_join_against_all_pairs(spark, seed):
-    rng = np.random.default_rng(seed)
-    base = rng.normal(size=(60, 16))
-    x = np.concatenate([base, base[:30] + rng.normal(size=(30, 16)) * 0.15, base[:5], np.repeat(base[:1], 40, 0) + rng.normal(size=(40, 16)) * 0.05]).astype(np.float32)
+def classes_of(x, least=0.95):
+    """By comparing all pairs: (smallest place of the class, number of links) of every place."""
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    cos = np.round(unit @ unit.T, 6)
-    want = {(i, j): cos[i, j] for i in range(len(x)) for j in range(i + 1, len(x)) if cos[i, j] >= 0.95}
-    df = vectors(spark, [(i, r.tolist(), "a", 1, 1, 1) for i, r in enumerate(x)])
-    got = ego.near_pairs(df).collect()
-    assert len(got) == len({(r.id_a, r.id_b) for r in got})
-    found = {(r.id_a, r.id_b): r.cosine for r in got}
-    assert set(found) == set(want) and len(want) > 100
-    assert all(abs(found[k] - want[k]) < 2e-6 for k in want)
+    near = np.round(unit @ unit.T, 6) >= least
+    np.fill_diagonal(near, True)
+    root = np.arange(len(x))
+    while True:
+        new = np.array([root[near[i]].min() for i in range(len(x))])
+        if (new == root).all():
+            return [(int(r), int(n) - 1) for r, n in zip(root, near.sum(1))]
+        root = new
+
+
+def clustered(seed, dims=16):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(60, dims))
+    chain = np.cumsum(rng.normal(size=(25, dims)) * 0.2, axis=0) + 2 * base[50]
+    return np.concatenate([base, base[:30] + rng.normal(size=(30, dims)) * 0.15, base[:5], np.repeat(base[:1], 400, 0) + rng.normal(size=(400, dims)) * 0.02, np.repeat(base[1:2], 300, 0) + rng.normal(size=(300, dims)) * 0.15, chain]).astype(np.float32)
+
+
+@pytest.mark.parametrize("seed,block", [(0, 512), (1, 64), (2, 7)])
+def test_grid_join_against_all_pairs(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(ego, "BLOCK_LEAST", block)
+    monkeypatch.setattr(ego, "BLOCK_MOST", block)
+    x = clustered(seed)
+    df = vectors(spark, [(i, r.tolist(), "a", 1, 1, 1) for i, r in enumerate(x)]).repartition(4)
+    got = {r.vec_id: (r.class_id, r.n_links) for r in ego.near_classes(df).collect()}
+    want = classes_of(x)
+    assert [got[i] for i in range(len(x))] == want
+    assert len({c for c, _ in want}) < 80 and sum(n > 300 for _, n in want) > 300
+
+
+def test_grid_join_query_against_its_sql(spark, tmp_path):
+    import duckdb
+
+    from quern.llm import queries
+
+    x = clustered(5, 8)[:200]
+    vectors(spark, [(i, r.tolist(), "a", 1, 1, 1) for i, r in enumerate(x)] + [(900, None, "", 0, 0, 0), (901, [0.0, 0.0], "", 0, 0, 0), (902, [1.0, None], "", 0, 0, 0)]).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(queries.OP3_SQL).fetchall()
+    got = [tuple(r) for r in queries.op3_embeddings(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and sum(n or 0 for _, _, n in got) > 1000
 
 
-def test_block_join_skips_nothing():
+@pytest.mark.parametrize("split", [300, 700])
+def test_interval_join_skips_nothing(split):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(700, 6))
-    x = x[np.lexsort(np.floor(x[:, ::-1] / 0.5).T)]
-    d = np.linalg.norm(x[:, None] - x[None], axis=2)
-    want = {(i, j) for i, j in zip(*np.nonzero(d <= 0.5)) if i < j}
-    got = [(a, b) for p, q in ego.join_blocks(x, x, 0.5, True) for a, b in zip(p.tolist(), q.tolist())]
-    assert len(got) == len(set(got))
-    assert {tuple(sorted(p)) for p in got} == want
-    crossed = {(a, b + 300) for p, q in ego.join_blocks(x[:300], x[300:], 0.5, False) for a, b in zip(p.tolist(), q.tolist())}
-    assert crossed == {(i, j) for i, j in want if i < 300 <= j}
+    x[:200] = x[0] + rng.normal(size=(200, 6)) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[np.lexsort(np.floor(x[:, ::-1] / 0.3).T)]
+    axes, n = np.eye(6), rng.integers(1, 4, 700)
+    near = np.round(x @ x.T, 6) >= 0.95
+    eps, sure = (0.1 + 1e-6) ** 0.5 + 1e-6, (0.1 - 2e-9) ** 0.5 - 1e-9
+    p = ego.Sequence(x[:split], n[:split], axes)
+    if split == 700:
+        found, weight = ego.link(p, p, True, 0.95, eps, sure), near * n - np.diag(n)
+    else:
+        near[:split, :split] = near[split:, split:] = False
+        found, weight = ego.link(p, ego.Sequence(x[split:], n[split:], axes), False, 0.95, eps, sure), near * n
+    assert found.count.tolist() == weight.sum(1).tolist() and found.count.max() > 100
+    root = found.settle()
+    assert all(root[i] == root[j] for i, j in zip(*np.nonzero(near)))
+    assert (root <= np.arange(700)).all()
 
 
 def test_grid_join_edge_cases(spark):
     one = [1.0, 0.0, 0.0]
-    rows = [(1, one), (2, [2.0, 0.0, 0.0]), (2, one), (None, one), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [float("nan"), 1.0, 0.0]), (7, [1.0, None, 0.0]), (8, [1.0, 0.0]), (9, [0.0, 1.0, 0.0]), (10, [float("inf"), 0.0, 0.0])]
-    got = ego.near_pairs(vectors(spark, [(*r, "x", 0, 0, 0) for r in rows])).collect()
-    assert sorted(((r.id_a, r.id_b) for r in got), key=str) == sorted([(1, 2), (1, 2), (2, 2), (None, 1), (None, 2), (None, 2)], key=str)
-    assert all(r.cosine == 1.0 for r in got)
-    assert ego.near_pairs(vectors(spark, [])).count() == 0
-    assert ego.near_pairs(vectors(spark, [(1, one, "x", 0, 0, 0)])).count() == 0
+    rows = [(1, one), (2, [2.0, 0.0, 0.0]), (2, one), (None, one), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [float("nan"), 1.0, 0.0]), (7, [1.0, None, 0.0]), (8, [1.0, 0.0]), (12, [1.0, 0.01]), (9, [0.0, 1.0, 0.0]), (10, [float("inf"), 0.0, 0.0]), (None, [0.0, 0.0, 1.0])]
+    got = ego.near_classes(vectors(spark, [(*r, "x", 0, 0, 0) for r in rows])).collect()
+    unusable = [(i, None, None) for i in (3, 4, 5, 6, 7, 10)]
+    want = [(1, 1, 3), (2, 1, 3), (2, 1, 3), (None, 1, 3), (8, 8, 1), (12, 8, 1), (9, 9, 0), (None, None, 0), *unusable]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+    assert ego.near_classes(vectors(spark, [])).count() == 0
+    assert [tuple(r) for r in ego.near_classes(vectors(spark, [(1, one, "x", 0, 0, 0)])).collect()] == [(1, 1, 0)]
+    assert [tuple(r) for r in ego.near_classes(vectors(spark, [(1, None, "x", 0, 0, 0)])).collect()] == [(1, None, None)]
     with pytest.raises(ValueError):
-        ego.near_pairs(vectors(spark, []), min_cosine=0)
+        ego.near_classes(vectors(spark, []), min_cosine=0)
 
 
 def naive_cuts(payload: bytes) -> list[int]:
