@@ -23,7 +23,7 @@ from .graph import components
 
 #: Axes that have grid cells, axes whose distances are looked at, and coordinates from which the axes are computed.
 LEADING, AXES, SPAN = 8, 16, 256
-#: The sequence is cut into about BLOCKS blocks, of so many vectors at least and at most. Only the tasks' sizes depend on it.
+#: The sequence is cut into about BLOCKS blocks, of so many vectors at least and at most (a task's last block may have nearly twice as many). Only the tasks' sizes depend on it.
 BLOCKS, BLOCK_LEAST, BLOCK_MOST = 12, 512, 32_768
 #: A block's vectors take so many bytes at most, as doubles.
 BLOCK_BYTES = 16 << 20
@@ -31,7 +31,7 @@ _LEAF = 128
 #: Links that a task holds before it sums them up.
 _HELD = 1_000_000
 #: A vector is named by its block and its place there.
-_POS = 1 << 15
+_POS = 1 << 16
 
 
 def _packed(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -302,10 +302,11 @@ def near_classes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             while True:
                 d = t["d"].to_numpy()
                 cut = int(np.searchsorted(d, d[0], side="right")) if len(d) else 0
-                if min(cut, len(d)) < size and cut == len(d):
+                if cut < 2 * size and cut == len(d):
                     break
-                yield make(t.slice(0, min(cut, size)))
-                t = t.slice(min(cut, size))
+                cut = cut if cut < 2 * size else size
+                yield make(t.slice(0, cut))
+                t = t.slice(cut)
             held = t.to_batches()
         if held and sum(map(len, held)):
             yield make(pa.Table.from_batches(held))
