@@ -2,7 +2,7 @@
 
 A gear hash rolls over the payload; a chunk ends where its ten upper bits are zero, after MIN bytes at least and MAX at most, so that equal passages
 give equal chunks wherever they stand. Chunk digests are deduplicated by a Spark join. To verify, every payload is put together again from
-the chunks that the store keeps, in order; chunks travel in compressed packs, one for each pair of tasks.
+the chunks that the store keeps, in order; payloads and chunks travel in compressed packs.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from .arrow import pieces
 
 MIN, MAX, BITS = 256, 8192, 10
 _WINDOW = 32
-#: Payload bytes that a task collects before it sends its packs.
-_PACK_BYTES = 32 << 20
+#: Payload bytes that a task collects before it sends its packs, and payload bytes of a bucket.
+_PACK_BYTES, BUCKET_BYTES = 32 << 20, 64 << 20
+#: Joins name media and chunks by the first bytes of their SHA-256; the whole of it verifies what is put together.
+NAME = 16
 
 
 def _gear(seed: int = 20240229) -> np.ndarray:
@@ -62,20 +64,26 @@ def _bucket(key: bytes, n: int) -> int:
     return int.from_bytes(key[:7], "big") % n
 
 
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        nulls = pa.nulls(b.num_rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([*b.columns, nulls, nulls, nulls], names=["bucket", "pack", "at", "digest", "to"])
+class _Packs:
+    """Records to buckets, in compressed packs."""
 
+    def __init__(self):
+        self.out: dict[int, list[bytes]] = {}
+        self.held = 0
 
-def _packer(out: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-    z = zstandard.ZstdCompressor(level=6)
-    for b in sorted(out):
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([z.compress(b"".join(out[b]))], pa.binary())], names=["bucket", "pack"])
+    def add(self, bucket: int, *parts: bytes) -> None:
+        record = struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts)
+        self.out.setdefault(bucket, []).append(record)
+        self.held += len(record)
 
+    def full(self) -> bool:
+        return self.held > _PACK_BYTES
 
-def _record(*parts: bytes) -> bytes:
-    return struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts)
+    def send(self) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=9)
+        for b in sorted(self.out):
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([z.compress(b"".join(self.out[b]))], pa.binary()), *(pa.nulls(1, pa.binary()),) * 2, pa.nulls(1, pa.int32())], names=["bucket", "pack", "at", "chunk", "to"])
+        self.out, self.held = {}, 0
 
 
 def _records(pack: bytes, k: int) -> Iterator[list[bytes]]:
@@ -116,131 +124,143 @@ def chunks(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     return df.select(df[id_col].alias("id"), df[payload_col].cast("binary").alias("payload")).mapInArrow(run, f"id {kind}, media binary, n_bytes bigint, ends array<int>, digests array<binary>")
 
 
-def _rebuilt(df: DataFrame, rows: DataFrame, payload_col: str, buckets: int) -> DataFrame:
-    """(media, good): for each distinct payload whether it comes out again when its chunks are fetched from the deduplicated store in order.
+def _rebuilt(df: DataFrame, payload_col: str, uses: DataFrame, firsts: DataFrame, buckets: int) -> DataFrame:
+    """(m, good): for each distinct payload whether it comes out again when its chunks are fetched from the deduplicated store in order.
 
-    The store keeps a chunk with the medium of smallest SHA-256 that has it. Spark joins find each medium's chunks that are kept elsewhere. Payloads meet
-    these lists once; media that keep all their chunks are put together there, the others' chunks and those that they need travel on.
+    The store keeps a chunk with the medium that has it first. Spark joins find the chunks that a medium needs from others. Payloads meet these lists once, in buckets
+    by medium; media that keep all their chunks are put together there. The others travel on with what they keep, and a chunk that others need is
+    sent once to each bucket in which it is needed, however many media need it. Lists come before payloads, and these pass one pack at a time.
     """
     gear = _gear()
-    uses = rows.where("media is not null").select("media", F.explode("digests").alias("digest")).distinct()
-    kept = uses.groupBy("digest").agg(F.min("media").alias("keeper"))
-    foreign = uses.join(kept, "digest").where("media <> keeper")
-    moves = foreign.select(F.explode(F.array(F.struct(F.col("media").alias("at"), "digest", F.lit(None).cast("binary").alias("to")), F.struct(F.col("keeper").alias("at"), "digest", F.col("media").alias("to")))).alias("m")).select("m.*")
-    bucket = F.pmod(F.conv(F.hex(F.substring("at", 1, 7)), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
-    lists = moves.select(bucket.alias("bucket"), F.lit(None).cast("binary").alias("pack"), "at", "digest", "to")
-    kind = "bucket int, pack binary, at binary, digest binary, to binary"
+    keepers = firsts.where("shared").select("d", F.col("first.m").alias("keeper"))
+    foreign = uses.select("m", "d").join(keepers, "d").where("m <> keeper")
+    bucket = lambda c: F.pmod(F.conv(F.hex(F.substring(c, 1, 7)), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
+    asks = F.struct(F.col("m").alias("at"), F.col("d").alias("chunk"), F.lit(None).cast("int").alias("to"))
+    gives = F.struct(F.col("keeper").alias("at"), F.col("d").alias("chunk"), bucket("m").alias("to"))
+    moves = foreign.select(F.explode(F.array(asks, gives)).alias("x")).select("x.*").distinct()
+    lists = moves.select(bucket("at").alias("bucket"), F.lit(None).cast("binary").alias("pack"), "at", "chunk", "to")
+    kind = "bucket int, pack binary, at binary, chunk binary, to int"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[int, list[bytes]] = {}
+        packs = _Packs()
         seen: set[bytes] = set()
-        held = 0
         for batch in batches:
             for piece in pieces(batch, 0):
                 for p in piece.column(0).to_pylist():
                     media = hashlib.sha256(p).digest()
-                    if media in seen:
-                        continue
-                    seen.add(media)
-                    out.setdefault(_bucket(media, buckets), []).append(_record(media, p))
-                    held += len(p)
-                if held > _PACK_BYTES:
-                    yield from _wide(_packer(out))
-                    out, seen, held = {}, set(), 0
-        yield from _wide(_packer(out))
+                    if media not in seen:
+                        seen.add(media)
+                        packs.add(_bucket(media, buckets), media, p)
+                if packs.full():
+                    yield from packs.send()
+                    seen = set()
+        yield from packs.send()
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs: list[bytes] = []
         needs: dict[bytes, set[bytes]] = {}
-        gives: dict[bytes, dict[bytes, list[bytes]]] = {}
+        gives: dict[bytes, dict[bytes, list[int]]] = {}
+        packs, done = _Packs(), set()
         for batch in batches:
-            for pack, at, digest, to in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-                if pack is not None:
-                    packs.append(pack)
-                elif to is None:
-                    needs.setdefault(at, set()).add(digest)
-                else:
-                    gives.setdefault(at, {}).setdefault(digest, []).append(to)
-        out: dict[int, list[bytes]] = {}
-        done: dict[bytes, bool] = {}
-        held = 0
-        for pack in packs:
-            for media, payload in _records(pack, 2):
-                if media in done:
-                    continue
-                e = cuts(payload, gear)
-                own = [payload[a:b] for a, b in zip([0, *e], e)]
-                names = [hashlib.sha256(c).digest() for c in own]
-                away, asked = needs.get(media, set()), gives.get(media, {})
-                here = {d: c for d, c in zip(names, own) if d not in away}
-                for d, others in asked.items():
-                    for to in others:
-                        out.setdefault(_bucket(to, buckets), []).append(_record(to, d, here[d], b""))
-                        held += len(here[d])
-                done[media] = False
-                if away:
-                    for d, c in here.items():
-                        out.setdefault(_bucket(media, buckets), []).append(_record(media, d, c, b""))
-                    out.setdefault(_bucket(media, buckets), []).append(_record(media, b"", b"", b"".join(names)))
-                    held += len(payload)
+            for pack, at, chunk, to in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                if pack is None and to is None:
+                    needs.setdefault(at, set()).add(chunk)
+                elif pack is None:
+                    gives.setdefault(at, {}).setdefault(chunk, []).append(to)
                 else:
-                    h = hashlib.sha256()
-                    for d in names:
-                        h.update(here[d])
-                    done[media] = h.digest() == media
-                if held > _PACK_BYTES:
-                    yield from _wide(_packer(out))
-                    out, held = {}, 0
-        yield from _wide(_packer(out))
-        whole = [m for m in done if m not in needs]
-        if whole:
-            nulls = pa.nulls(len(whole), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([_bucket(m, buckets) for m in whole], pa.int32()), nulls, pa.array(whole, pa.binary()), nulls, pa.array([b"1" if done[m] else b"" for m in whole], pa.binary())], names=["bucket", "pack", "at", "digest", "to"])
+                    for media, payload in _records(pack, 2):
+                        m = media[:NAME]
+                        if m in done:
+                            continue
+                        done.add(m)
+                        e, home = cuts(payload, gear), _bucket(m, buckets)
+                        names = [hashlib.sha256(payload[a:b]).digest() for a, b in zip([0, *e], e)]
+                        away, asked = needs.get(m, ()), gives.get(m, {})
+                        own: dict[bytes, bytes] = {}
+                        for d, a, b in zip(names, [0, *e], e):
+                            if d[:NAME] not in away:
+                                own[d] = payload[a:b]
+                        for d, c in own.items():
+                            for to in asked.get(d[:NAME], ()):
+                                packs.add(to, b"C", d, c, b"")
+                        if away:
+                            # its ordered list, and what it keeps itself
+                            packs.add(home, b"M", media, b"".join(names), b"".join(struct.pack("<I", len(c)) + c for c in own.values()))
+                        else:
+                            h = hashlib.sha256()
+                            for d in names:
+                                h.update(own[d])
+                            packs.add(home, b"W", m, b"1" if h.digest() == media else b"0", b"")
+                    if packs.full():
+                        yield from packs.send()
+        yield from packs.send()
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[bytes, dict[bytes, bytes]] = {}
-        order: dict[bytes, bytes] = {}
+        chunk: dict[bytes, bytes] = {}
+        waiting: list[tuple[bytes, bytes, bytes]] = []
+
+        def answer(found: list[tuple[bytes, bool]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([m for m, _ in found], pa.binary()), pa.array([g for _, g in found], pa.bool_())], names=["m", "good"])
+
         for batch in batches:
-            at, to = batch.column(2), batch.column(4)
-            known = at.is_valid()
-            yield pa.RecordBatch.from_arrays([at.filter(known), pa.array([x == b"1" for x in to.filter(known).to_pylist()], pa.bool_())], names=["media", "good"])
-            for pack in batch.column(1).drop_null().to_pylist():
-                for media, d, payload, names in _records(pack, 4):
-                    if names:
-                        order[media] = names
+            for pack in batch.column(1).to_pylist():
+                whole = []
+                for tag, a, b, c in _records(pack, 4):
+                    if tag == b"W":
+                        whole.append((a, b == b"1"))
+                    elif tag == b"M":
+                        waiting.append((a, b, c))
                     else:
-                        parts.setdefault(media, {})[d] = payload
+                        chunk[a] = b
+                yield answer(whole)
         good = []
-        for media, names in order.items():
-            h, own = hashlib.sha256(), parts.get(media, {})
+        for media, names, own in waiting:
+            kept, at = [], 0
+            while at < len(own):
+                n = struct.unpack_from("<I", own, at)[0]
+                kept.append(own[at + 4 : at + 4 + n])
+                at += 4 + n
+            here = {hashlib.sha256(c).digest(): c for c in kept}
+            h = hashlib.sha256()
             for i in range(0, len(names), 32):
-                h.update(own.get(names[i : i + 32], b""))
-            good.append(h.digest() == media)
-        yield pa.RecordBatch.from_arrays([pa.array(list(order), pa.binary()), pa.array(good, pa.bool_())], names=["media", "good"])
+                d = names[i : i + 32]
+                h.update(here.get(d) or chunk.get(d, b""))
+            good.append((media[:NAME], h.digest() == media))
+        yield answer(good)
 
     payloads = df.select(df[payload_col].cast("binary").alias("payload")).where("length(payload) > 0")
-    met = payloads.mapInArrow(send, kind).unionByName(lists).repartition(buckets, "bucket").mapInArrow(store, kind)
-    return met.repartition(buckets, "bucket").mapInArrow(rebuild, "media binary, good boolean")
+    sent = payloads.mapInArrow(send, kind).unionByName(lists)
+    met = _to_buckets(sent, buckets).sortWithinPartitions(F.col("pack").isNotNull()).mapInArrow(store, kind)
+    return _to_buckets(met, buckets).mapInArrow(rebuild, "m binary, good boolean")
+
+
+def _to_buckets(df: DataFrame, buckets: int) -> DataFrame:
+    return df.repartitionById(buckets, F.col("bucket"))
 
 
 def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "html", buckets: int | None = None) -> DataFrame:
     """(id_col, n_bytes, sha256, chunk_digests ARRAY<BINARY>, chunk_ends ARRAY<INT>, n_chunks, n_new, verified) of every row of df.
 
     n_new counts the chunks that no row with a smaller (id, place) has: the store holds exactly those. verified: the payload, put together from
-    the store by its ordered list, has its own SHA-256 again. buckets: tasks of the exchange of payloads, by default spark.sql.shuffle.partitions; give
-    one for each 100 MB or so, since a task holds the chunks of its digests.
+    the store by its ordered list, has its own SHA-256 again. buckets: tasks of the exchange of payloads, by default spark.sql.shuffle.partitions or, if
+    more, one for each BUCKET_BYTES of payload.
 
     A null payload has nulls; an empty one no chunks, and is verified. A payload of up to MIN bytes is one chunk. Repeated rows have new chunks
     in one of them only; null ids come last. Other columns are ignored; an empty table gives no rows. Payloads are read whole.
     """
     spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = checkpointed(chunks(df, id_col, payload_col).withColumn("key", F.monotonically_increasing_id()))
-    uses = rows.select("id", "key", F.posexplode("digests").alias("place", "digest"))
-    first = uses.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "place")).alias("first")).select("digest", F.col("first.key").alias("key"))
-    new = first.groupBy("key").agg(F.count("*").alias("n_new"))
-    rebuilt = _rebuilt(df, rows, payload_col, n)
-    out = rows.join(new, "key", "left").join(rebuilt, "media", "left")
+    if buckets is None:
+        whole = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // BUCKET_BYTES))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "key")
+    uses = rows.select(F.substring("media", 1, NAME).alias("m"), order.alias("at"), F.posexplode("digests").alias("place", "digest")).withColumn("d", F.substring("digest", 1, NAME))
+    firsts = uses.groupBy("d").agg(F.min(F.struct("at", "place", "m")).alias("first"), F.min("m").alias("lo"), F.max("m").alias("hi"))
+    firsts = firsts.select("d", F.struct("first.m", "first.at.key").alias("first"), (F.col("lo") != F.col("hi")).alias("shared"))
+    new = firsts.groupBy("first").agg(F.count("*").alias("n_new")).select("first.m", "first.key", "n_new")
+    rebuilt = _rebuilt(df, payload_col, uses, firsts, buckets)
+    # equal payloads have the same first row for all their chunks: a medium has one row in new, or none
+    found = rebuilt.join(new.withColumnRenamed("key", "new_key"), "m", "left")
+    out = rows.withColumn("m", F.substring("media", 1, NAME)).join(found, "m", "left")
     size = F.size("digests")
     return out.select(
         F.col("id").alias(id_col),
@@ -249,13 +269,17 @@ def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "htm
         F.col("digests").alias("chunk_digests"),
         F.col("ends").alias("chunk_ends"),
         F.when(F.col("media").isNotNull(), size).alias("n_chunks"),
-        F.when(F.col("media").isNotNull(), F.coalesce("n_new", F.lit(0))).alias("n_new"),
+        F.when(F.col("media").isNotNull(), F.when(F.col("key") == F.col("new_key"), F.col("n_new")).otherwise(F.lit(0))).alias("n_new"),
         F.when(F.col("media").isNotNull(), (size == 0) | F.coalesce("good", F.lit(False))).alias("verified"),
     )
 
 
 def chunk_store(df: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """(digest, payload): one row for each distinct chunk of df's payloads."""
+    """(digest, payload): one row for each distinct chunk of df's payloads.
+
+    Null and empty payloads have no chunks; repeated rows and repeated passages add nothing; other columns, the ids among them, are ignored, whatever their names; an empty table gives
+    no rows. Payloads are read whole. There are no ties: rows of one digest are equal.
+    """
     gear = _gear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,12 +297,16 @@ def chunk_store(df: DataFrame, id_col: str = "page_id", payload_col: str = "html
 
 
 def reconstruct(listed: DataFrame, store: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id_col, payload BINARY) of every row of media_chunks' result, from a chunk store alone. A list with a chunk that the store lacks is an error;
-    a null list gives null, an empty one the empty payload."""
+    """(id_col, payload BINARY) of every row of media_chunks' result, from a chunk store alone.
+
+    A list with a chunk that the store lacks is an error; a null list gives a null, an empty one the empty payload. Repeated rows and null ids are kept, each with its payload. Other
+    columns of listed, whatever their names, are ignored; an empty table gives no rows. store has a row for each digest once. Payloads are put together
+    in time proportional to their length.
+    """
     rows = listed.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col("chunk_digests").alias("digests"))
     rows = checkpointed(rows)
     parts = rows.select("key", F.posexplode("digests").alias("place", "digest")).join(store, "digest", "left")
     parts = parts.withColumn("payload", F.when(F.col("payload").isNull(), F.raise_error(F.lit("a chunk is missing")).cast("binary")).otherwise(F.col("payload")))
     whole = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "payload"))).alias("p"))
-    glued = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["payload"]))
+    glued = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["payload"])), ""))
     return rows.join(whole, "key", "left").select(F.col("id").alias(id_col), F.when(F.col("digests").isNotNull(), F.coalesce(glued, F.lit(b""))).alias("payload"))
