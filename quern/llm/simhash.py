@@ -2,15 +2,14 @@
 
 A text's fingerprint has 128 bits: each distinct word votes with the 128 bits of its hash. Its 16 bytes with their
 positions are 16 entries of an inverted index. Two fingerprints that differ in at most k bits share at least
-16 - k of the 16 positional bytes. A single byte has 256 values, so its lists would grow with the square of
+16 - k of the 16 positional bytes: five of them for CERTAIN = 11 bits. A single byte has 256 values, so its lists would grow with the square of
 the corpus; the index therefore holds the triples of positional bytes within each half of the
-fingerprint (2 x 56 lists of 24 bits). Any pair that shares five bytes has three of them in one half, so it meets in a list:
-pairs within 11 bits are found for certain, and pairs of 12 to `max_distance` bits whenever three of their
-shared bytes lie in one half. Pairs that meet have their shared bytes tallied, are dropped below the least number that
-the index guarantees, and are verified by their exact Hamming distance.
+fingerprint (2 x 56 lists of 24 bits). Of any five shared bytes three lie in one half, so every pair within 11 bits meets in a list. Pairs that meet there
+have their shared positional bytes tallied; those that reach the guaranteed five are verified by their exact Hamming distance. All pairs of a
+list are covered, whatever its length: long lists are cut into shorter ones by two further bytes, of which a pair must share two as well.
 
-Two texts whose distinct words overlap by 0.8 (Jaccard) lie 19.4 bits apart in the mean, with a standard deviation of 4.1, and share too few bytes for
-that index. Each text is therefore in further lists, under the least hashes of its words (20 bands of 6): at overlap 0.8 a pair meets there with
+Two texts whose distinct words overlap by 0.8 (Jaccard) lie 19.4 bits apart in the mean, with a standard deviation of 4.1, and may share no byte. No minimum is
+guaranteed for them, so each text is in further lists, under the least hashes of its words (20 bands of 6): at overlap 0.8 a pair meets there with
 probability 0.998, whatever its distance. Pairs that meet there within max_distance bits are taken as they are; those up to `far_distance`
 bits apart (mean and three deviations) if the exact overlap of their distinct words is at least `overlap`.
 """
@@ -33,6 +32,10 @@ from .bpe import gather, sums
 from .graph import components
 
 BYTES = 16
+#: Pairs within so many bits are found for certain: they share LEAST_SHARED positional bytes at least.
+CERTAIN = 11
+LEAST_SHARED = BYTES - CERTAIN
+#: Pairs of a band within so many bits are near-copies without a look at their words.
 MAX_DISTANCE = 18
 #: Farther pairs count if their distinct words overlap by OVERLAP at least.
 FAR_DISTANCE, OVERLAP = 31, 0.8
@@ -42,8 +45,10 @@ _ODD = np.random.default_rng(7).integers(1, 1 << 63, BANDS * WIDTH, dtype=np.uin
 _MIX = np.random.default_rng(8).integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Positional triples: three of any five shared bytes lie in one half.
 TRIPLES = np.array([t for half in (range(8), range(8, 16)) for t in itertools.combinations(half, 3)], np.int64)
-#: A pair in a list of triples shares as many positional bytes.
-LEAST_SHARED = 3
+#: Rows of a list of which all pairs are checked at once; rows of a list of triples from which it is cut by two further bytes.
+SHORT, CUT = 64, 2048
+#: Rows of a long list that are compared with all others before its groups are.
+_LEADS = 16
 #: Keys of bands begin here, those of triples end far below.
 FIRST_BAND = 1 << 62
 
@@ -151,15 +156,16 @@ def _fingerprint_piece(batch: pa.RecordBatch) -> pa.RecordBatch:
     bands: list[bytes | None] = [None] * len(texts)
     for i, fp, b in zip(at, *kept(("simhash",), Words).sketches([texts[i] for i in at])):
         found[i], bands[i] = fp, b
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(bands, pa.binary())], names=["id", "row", "fp", "bands"])
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(bands, pa.binary()), batch.column(3)], names=["id", "row", "fp", "bands", "whole"])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, fp BINARY, bands BINARY) of every row of df: row is a hash of the text, fp and bands null for a null text."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: Column | None = None) -> DataFrame:
+    """(id, row, fp BINARY, bands BINARY, whole) of every row of df: row is a hash of the text, fp and bands null for a null text; whole as given."""
     ensure_importable(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     text = df[text_col].cast("string")
-    return df.select(df[id_col].alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(over_pieces(_fingerprint_piece, 2), f"id {kind}, row bigint, fp binary, bands binary")
+    whole = F.lit(0).cast("bigint") if whole is None else whole
+    return df.select(df[id_col].alias("id"), F.xxhash64(text).alias("row"), text.alias("text"), whole.alias("whole")).mapInArrow(over_pieces(_fingerprint_piece, 2), f"id {kind}, row bigint, fp binary, bands binary, whole bigint")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,57 +184,144 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key.ravel(), bands])), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["key", "hi", "lo"])
 
 
-def _matches(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+def _matches(x: np.ndarray, y: np.ndarray, most: int, least: int) -> np.ndarray:
     """Count filter and check: enough shared positional bytes, and at most so many bits apart (rows are 16 bytes)."""
     diff = x ^ y
-    shared = (diff == 0).sum(1)
-    out = shared >= LEAST_SHARED
+    if not least:
+        return np.bitwise_count(diff.view(np.uint64)).sum(1) <= most
+    out = (diff == 0).sum(1) >= least
     out[out] = np.bitwise_count(np.ascontiguousarray(diff[out]).view(np.uint64)).sum(1) <= most
     return out
 
 
-def _bucket_edges(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows in each run [start, end) of rows with one key. In a run of up to 64 every pair is checked. In a longer one
-    all rows are checked against the first; those that match it are in its group already, so only
-    pairs with a row that doesn't match are left. The next such row is checked against all rows but the leads before it, and so
-    on. Two rows that are no leads and match different leads aren't compared, so a chain through them is found only if another list has it."""
+def _short_pairs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places in each run [start, end), half a million at a time."""
     size = ends - starts
-    short = (size > 1) & (size <= 64)
-    if short.any():
-        last = np.repeat(ends[short], size[short])
-        rows = np.repeat(starts[short] - (np.cumsum(size[short]) - size[short]), size[short]) + np.arange(len(last))
-        for shift in range(1, int(size[short].max())):
-            i = rows[rows + shift < last]
-            for at in range(0, len(i), 500_000):
-                a = i[at : at + 500_000]
-                ok = _matches(fps[a], fps[a + shift], most)
-                yield a[ok], a[ok] + shift
-    for s, e in zip(starts[size > 64].tolist(), ends[size > 64].tolist()):
-        rows, groups = np.arange(s, e), []
-        while len(rows):
-            lead, rest = rows[0], rows[1:]
-            for others in (*groups, rest):
-                ok = np.zeros(len(others), bool)
-                for at in range(0, len(others), 500_000):
-                    ok[at : at + 500_000] = _matches(fps[lead][None, :], fps[others[at : at + 500_000]], most)
-                yield np.full(ok.sum(), lead), others[ok]
-            groups.append(rest[ok])
-            rows = rest[~ok]
-
-
-def _band_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, far: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All pairs of rows in each run [start, end) that are up to `far` bits apart but not equal, with their distances."""
-    halves = np.ascontiguousarray(fps).view(np.uint64)
-    last = np.repeat(ends, ends - starts)
-    rows = np.repeat(starts, ends - starts) + np.arange(len(last)) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts)
-    for shift in range(1, int((ends - starts).max(initial=0))):
+    last = np.repeat(ends, size)
+    rows = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(len(last))
+    for shift in range(1, int(size.max(initial=0))):
         more = rows + shift < last
         rows, last = rows[more], last[more]
         for at in range(0, len(rows), 500_000):
-            a = rows[at : at + 500_000]
-            bits = np.bitwise_count(halves[a] ^ halves[a + shift]).sum(1)
-            ok = (bits > 0) & (bits <= far)
-            yield a[ok], a[ok] + shift, bits[ok]
+            yield rows[at : at + 500_000], rows[at : at + 500_000] + shift
+
+
+class _Long:
+    """The links of one long list: `near` holds pairs of rows that connect all rows within `most` bits (that share `least` bytes), `apart` the other pairs
+    up to `far` bits apart whose ends aren't connected.
+
+    A few rows are compared with all others first; a row that matches such a lead is in its group. After that only rows of different groups are
+    compared, every pair of them, until they are in one group."""
+
+    def __init__(self, fps: np.ndarray, most: int, far: int, least: int):
+        self.fps, self.most, self.far, self.least = fps, most, far, least
+        self.halves = np.ascontiguousarray(fps).view(np.uint64)
+        self.label = np.arange(len(fps))
+        self.near: list[tuple[int, int]] = []
+        self.apart: list[np.ndarray] = []
+        left = np.arange(len(fps))
+        for _ in range(_LEADS):
+            if len(left) < 2:
+                break
+            lead, left = left[0], left[1:]
+            ok = np.concatenate([_matches(fps[lead][None, :], fps[left[at : at + 500_000]], most, least) for at in range(0, len(left), 500_000)])
+            self.label[left[ok]] = lead
+            self.near += [(int(lead), x) for x in left[ok].tolist()]
+            left = left[~ok]
+        for rows in self.parts():
+            self.cross(rows)
+
+    def parts(self) -> Iterator[np.ndarray]:
+        """Rows among which all pairs are to be looked at; pairs that share `least` bytes are together in one of them."""
+        n = len(self.fps)
+        if not self.least or n <= CUT:
+            yield np.arange(n)
+            return
+        open_ = np.flatnonzero((self.fps != self.fps[0]).any(0))  # bytes that all rows share are among the shared ones of every pair
+        more = self.least - (BYTES - len(open_))
+        if more < 2:
+            yield np.arange(n)
+            return
+        for i, j in itertools.combinations(open_.tolist(), 2):
+            key = self.fps[:, i].astype(np.int64) << 8 | self.fps[:, j]
+            order = np.argsort(key, kind="stable")
+            cut = np.flatnonzero(np.diff(key[order])) + 1
+            starts, ends = np.concatenate([[0], cut]), np.append(cut, n)
+            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+                yield order[s:e]
+
+    def cross(self, rows: np.ndarray) -> None:
+        label = self.label
+        for at in range(0, len(rows), 256):
+            for to in range(at, len(rows), 65_536):
+                i, j = rows[at : at + 256], rows[to : to + 65_536]
+                p, q = np.nonzero(label[i][:, None] != label[j][None, :])
+                ahead = q + to > p + at
+                p, q = i[p[ahead]], j[q[ahead]]
+                for k in range(0, len(p), 500_000):
+                    self.compare(p[k : k + 500_000], q[k : k + 500_000])
+                label = self.label
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        n, label = len(self.fps), self.label
+        ok = _matches(self.fps[a], self.fps[b], self.most, self.least)
+        if self.far > self.most:
+            bits = np.bitwise_count(self.halves[a] ^ self.halves[b]).sum(1)
+            away = (bits > self.most) & (bits <= self.far)
+            if away.any():
+                self.apart.append(np.stack([a[away], b[away]], axis=1))
+        a, b = a[ok], b[ok]
+        if not len(a):
+            return
+        _, one = np.unique(label[a] * n + label[b], return_index=True)
+        up = np.arange(n)
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for x, y in zip(a[one].tolist(), b[one].tolist()):
+            p, q = sorted((root(label[x]), root(label[y])))
+            if p != q:
+                up[q] = p
+                self.near.append((x, y))
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        self.label = up[label]
+
+    def far_pairs(self) -> np.ndarray:
+        pairs = np.concatenate(self.apart) if self.apart else np.zeros((0, 2), np.int64)
+        return pairs[self.label[pairs[:, 0]] != self.label[pairs[:, 1]]]
+
+
+def _bucket_edges(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = CERTAIN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows in each run [start, end) of rows with one key of triples: they connect all pairs within `most` bits that reach the count filter."""
+    size = ends - starts
+    short = (size > 1) & (size <= SHORT)
+    for a, b in _short_pairs(starts[short], ends[short]):
+        ok = _matches(fps[a], fps[b], most, LEAST_SHARED)
+        yield a[ok], b[ok]
+    for s, e in zip(starts[size > SHORT].tolist(), ends[size > SHORT].tolist()):
+        near = np.array(_Long(fps[s:e], most, most, LEAST_SHARED).near, np.int64).reshape(-1, 2) + s
+        yield near[:, 0], near[:, 1]
+
+
+def _band_edges(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int, far: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Of the rows in each run [start, end) of one band: pairs that connect those within `most` bits (True), and the other pairs up to `far` bits apart (False)."""
+    size = ends - starts
+    short = (size > 1) & (size <= SHORT)
+    halves = np.ascontiguousarray(fps).view(np.uint64)
+    for a, b in _short_pairs(starts[short], ends[short]):
+        bits = np.bitwise_count(halves[a] ^ halves[b]).sum(1)
+        for ok, near in (((bits > 0) & (bits <= most), True), ((bits > most) & (bits <= far), False)):
+            yield a[ok], b[ok], near
+    for s, e in zip(starts[size > SHORT].tolist(), ends[size > SHORT].tolist()):
+        found = _Long(fps[s:e], most, far, 0)
+        near, apart = np.array(found.near, np.int64).reshape(-1, 2) + s, found.far_pairs() + s
+        yield near[:, 0], near[:, 1], True
+        yield apart[:, 0], apart[:, 1], False
 
 
 class _Forest:
@@ -266,30 +359,20 @@ def _edges(most: int, far: int):
             starts, ends = np.concatenate([[0], cut]), np.append(cut, len(keys))
             found: list[tuple[bytes, bytes, bool]] = []
             triples = keys[starts] < FIRST_BAND
-            for a, b in _bucket_edges(fps, starts[triples], ends[triples], most):
+            for a, b in _bucket_edges(fps, starts[triples], ends[triples], min(most, CERTAIN)):
                 for x, y in zip(a.tolist(), b.tolist()):
                     p, q = fps[x].tobytes(), fps[y].tobytes()
                     if forest.add(p, q):
                         found.append((p, q, True))
             apart: set[tuple[bytes, bytes]] = set()
-            long = ~triples & (ends - starts > 64)  # rows of long lists are labelled with their groups from time to time
-            rows_of_long = [i for s, e in zip(starts[long].tolist(), ends[long].tolist()) for i in range(s, e)]
-            label, since = np.arange(len(fps)), len(fps)
-            for a, b, bits in _band_pairs(fps, starts[~triples], ends[~triples], far):
-                if rows_of_long and since > 2 * len(rows_of_long):
-                    ids: dict[bytes, int] = {}
-                    label[rows_of_long] = [-1 - ids.setdefault(forest.root(fps[i].tobytes()), len(ids)) for i in rows_of_long]
-                    since = 0
-                new = label[a] != label[b]
-                a, b, bits = a[new], b[new], bits[new]
-                since += len(a)
-                for x, y, n in zip(a.tolist(), b.tolist(), bits.tolist()):
+            for a, b, near in _band_edges(fps, starts[~triples], ends[~triples], most, far):
+                for x, y in zip(a.tolist(), b.tolist()):
                     p, q = fps[x].tobytes(), fps[y].tobytes()
-                    if n > most:
-                        if forest.root(p) != forest.root(q):
-                            apart.add((min(p, q), max(p, q)))
-                    elif forest.add(p, q):
-                        found.append((p, q, True))
+                    if near:
+                        if forest.add(p, q):
+                            found.append((p, q, True))
+                    elif forest.root(p) != forest.root(q):
+                        apart.add((min(p, q), max(p, q)))
             found += [(p, q, False) for p, q in sorted(apart) if forest.root(p) != forest.root(q)]
             return pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.binary()), pa.array([y for _, y, _ in found], pa.binary()), pa.array([z for _, _, z in found], pa.bool_())], names=["a", "b", "near"]) if found else None
 
@@ -325,9 +408,9 @@ def _edges(most: int, far: int):
 
 
 def fingerprint_edges(fps: DataFrame, max_distance: int = MAX_DISTANCE, far_distance: int = FAR_DISTANCE) -> DataFrame:
-    """Edges (a, b, near) between the distinct fingerprints of fps (fp, bands). Near ones connect those within max_distance bits, as far as they share
-    the positional bytes of a list or a band; the others share a band, are up to far_distance bits apart and are to be verified. Pairs whose ends
-    are connected already may be left out."""
+    """Edges (a, b, near) between the distinct fingerprints of fps (fp, bands). Near ones connect all pairs within CERTAIN bits and those of a band within
+    max_distance bits; the others share a band, are up to far_distance bits apart and are to be verified. Pairs whose ends
+    are connected already may be left out. A task holds the distinct fingerprints of one list, 24 bytes each, at a time."""
     posts = fps.mapInArrow(_postings, "key bigint, hi bigint, lo bigint")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return posts.repartition(max(n, 1), "key").sortWithinPartitions("key").mapInArrow(_edges(max_distance, far_distance), "a binary, b binary, near boolean")
@@ -367,40 +450,45 @@ def _verified(pairs: DataFrame, sigs: DataFrame, df: DataFrame, text_col: str, o
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_overlapping(overlap), "a binary, b binary")
 
 
-def _grouped(df: DataFrame, id_col: str, text_col: str, max_distance: int, far_distance: int, overlap: float) -> DataFrame:
-    """(id, row, place, first) of every row with a text: place counts within its group from 1, first is the id at place 1."""
-    sigs = checkpointed(fingerprints(df, id_col, text_col).where("fp is not null"))
+def _grouped(sigs: DataFrame, df: DataFrame, text_col: str, max_distance: int, far_distance: int, overlap: float) -> DataFrame:
+    """sigs with the column grp: a fingerprint that the rows of a group share."""
     edges = checkpointed(fingerprint_edges(sigs.select("fp", "bands").distinct(), max_distance, far_distance))
     far = _verified(edges.where("not near").select("a", "b").distinct(), sigs, df, text_col, overlap)
     roots = components(edges.where("near").select("a", "b").union(far)).select(F.col("node").alias("fp"), "root")
-    named = sigs.join(roots, "fp", "left").select("id", "row", F.coalesce("root", "fp").alias("grp"))
-    group = Window.partitionBy("grp").orderBy(F.col("id").asc_nulls_last(), "row")
-    return named.select("id", "row", F.row_number().over(group).alias("place"), F.first("id").over(group).alias("first"))
+    return sigs.join(roots, "fp", "left").withColumn("grp", F.coalesce("root", "fp"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, far_distance: int = FAR_DISTANCE, overlap: float = OVERLAP) -> DataFrame:
     """(id_col, duplicate_of) for every row that has a near-copy with a smaller id: duplicate_of is the smallest id of its group.
 
-    Groups are the connected components of "within max_distance bits, or within far_distance bits and with distinct words that overlap by `overlap`". Rows without a near-copy aren't in the result.
+    Groups are the connected components of "within CERTAIN bits, or in a band together and within max_distance bits, or in a band together, within
+    far_distance bits and with distinct words that overlap by `overlap`". Rows without a near-copy aren't in the result.
     A null text is in no group. Texts without a word (empty, white space, punctuation) form groups of equal texts up to white space.
     Repeated rows are near-copies of each other: all but one are in the result, even with the same id. A null id comes last
     in its group. Other columns of df, whatever their names, are ignored; an empty table gives no rows. Texts are read whole.
     """
-    out = _grouped(df, id_col, text_col, max_distance, far_distance, overlap).where("place > 1")
-    return out.select(F.col("id").alias(id_col), F.col("first").alias("duplicate_of"))
+    sigs = checkpointed(fingerprints(df, id_col, text_col).where("fp is not null").withColumn("key", F.monotonically_increasing_id()))
+    named = _grouped(sigs, df, text_col, max_distance, far_distance, overlap).select("id", "row", "key", "grp")
+    first = named.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "key")).alias("first"))
+    out = named.join(first, "grp").where(F.col("key") != F.col("first.key"))
+    return out.select(F.col("id").alias(id_col), F.col("first.id").alias("duplicate_of"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, far_distance: int = FAR_DISTANCE, overlap: float = OVERLAP) -> DataFrame:
     """df with one row of each group of near_duplicates, that with the smallest id, and all rows with a null text.
 
-    All columns stay as they are. Of rows with the same id and text one stays. Nulls, empty texts and tables: as in near_duplicates.
+    All columns stay as they are. Of rows with the same id and text that stays whose columns have the least hash; rows that are equal in all columns
+    are interchangeable. Nulls, empty texts and tables: as in near_duplicates.
     """
-    kept = _grouped(df, id_col, text_col, max_distance, far_distance, overlap).where("place = 1")
+    whole = F.xxhash64(F.lit(1), *[F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields])
+    sigs = checkpointed(fingerprints(df, id_col, text_col, whole).where("fp is not null"))
+    named = _grouped(sigs, df, text_col, max_distance, far_distance, overlap)
+    first = named.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "whole")).alias("first"))
     tag = uuid.uuid4().hex[:8]
-    row, key, text_row, n = (f"_{x}_{tag}" for x in ("row", "key", "text_row", "n"))
-    docs = df.withColumn(row, F.xxhash64(df[text_col].cast("string")))
-    kept = kept.select(F.col("id").alias(key), F.col("row").alias(text_row))
-    same: Column = docs[id_col].eqNullSafe(kept[key]) & (docs[row] == kept[text_row])
-    with_text = docs.where(docs[text_col].isNotNull()).join(kept, same, "left_semi")
-    one = with_text.withColumn(n, F.row_number().over(Window.partitionBy(id_col, row).orderBy(F.lit(1)))).where(F.col(n) == 1).drop(n)
-    return one.unionByName(docs.where(docs[text_col].isNull())).drop(row)
+    row, all_, n = (f"_{x}_{tag}" for x in ("row", "all", "n"))
+    kept = first.select(F.col("first.row").alias(row), F.col("first.whole").alias(all_))
+    docs = df.withColumns({row: F.xxhash64(df[text_col].cast("string")), all_: whole})
+    # the window keeps the join's partitioning: documents are exchanged once
+    with_text = docs.where(docs[text_col].isNotNull()).join(kept, [row, all_], "left_semi")
+    one = with_text.withColumn(n, F.row_number().over(Window.partitionBy(row, all_).orderBy(row))).where(F.col(n) == 1)
+    return one.select(*[F.col(f"`{c}`") for c in df.columns]).unionByName(df.where(df[text_col].isNull()))

@@ -14,32 +14,53 @@ from .common import LONG, messy
 DOCS = "doc_id bigint, text string"
 
 
-def groups_of(fps: list[bytes | None], most: int) -> dict[int, int]:
-    """By comparing all pairs: each place's first place of its group."""
-    up = list(range(len(fps)))
+def brute_groups(texts: list[str]) -> dict[int, int]:
+    """By comparing all pairs: each place's first place of its group, by the operator's definition."""
+    import re
+
+    fps, bands = simhash.Words().sketches(texts)
+    m = np.frombuffer(b"".join(fps), np.uint8).reshape(-1, 16)
+    lists = [set(np.frombuffer(b, np.int64).tolist()) for b in bands]
+    words = [set(re.findall(r"\w+", t.lower())) for t in texts]
+    up = list(range(len(texts)))
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    m = np.frombuffer(b"".join(f or bytes(16) for f in fps), np.uint8).reshape(-1, 16)
-    for i in range(len(fps)):
-        for j in np.flatnonzero(np.bitwise_count(m[i] ^ m[i + 1 :]).sum(1) <= most) + i + 1:
-            if fps[i] is not None and fps[j] is not None:
-                a, b = sorted((root(i), root(int(j))))
-                up[b] = a
-    return {i: root(i) for i in range(len(fps)) if fps[i] is not None}
+    for i in range(len(texts)):
+        bits = np.bitwise_count(m[i] ^ m[i + 1 :]).sum(1)
+        for j in (np.flatnonzero(bits <= simhash.FAR_DISTANCE) + i + 1).tolist():
+            n = bits[j - i - 1]
+            near = n <= simhash.CERTAIN or (lists[i] & lists[j] and (n <= simhash.MAX_DISTANCE or len(words[i] & words[j]) >= simhash.OVERLAP * len(words[i] | words[j])))
+            if near:
+                p, q = sorted((root(i), root(j)))
+                up[q] = p
+    return {i: root(i) for i in range(len(texts))}
 
 
 def test_simhash_against_all_pairs(spark, sf):
     t = pq.read_table(f"{sf}/documents.parquet").to_pandas().sort_values("doc_id")
-    fps = simhash.Words().fingerprints(t.text.tolist())
     ids = t.doc_id.tolist()
-    want = {ids[i]: ids[r] for i, r in groups_of(fps, simhash.MAX_DISTANCE).items() if r != i}
+    want = {ids[i]: ids[r] for i, r in brute_groups(t.text.tolist()).items() if r != i}
     got = {r.doc_id: r.duplicate_of for r in simhash.near_duplicates(table(spark, sf, "documents")).collect()}
-    assert set(got) <= set(want)  # no pair that isn't within the distance
-    assert sum(got.get(d) == r for d, r in want.items()) >= 0.9 * len(want) > 0
+    assert got == want and len(want) > 10
+
+
+def test_simhash_of_made_up_copies_against_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for g in range(20):
+        words = [f"w{x}" for x in rng.choice(3000, int(rng.integers(20, 120)), replace=False)]
+        for _ in range(int(rng.integers(1, 40))):  # chains of small changes
+            texts.append(" ".join(words))
+            for _ in range(int(rng.integers(0, 4))):
+                words[int(rng.integers(len(words)))] = f"w{rng.integers(3000)}"
+    got = {r.doc_id: r.duplicate_of for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert got == {i: r for i, r in brute_groups(texts).items() if r != i}
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
+    assert {r.doc_id for r in kept} == set(range(len(texts))) - set(got)
 
 
 def test_fingerprint_is_the_vote_of_distinct_words():
@@ -56,28 +77,59 @@ def test_fingerprint_is_the_vote_of_distinct_words():
     assert simhash.Words().fingerprints([" ".join(long_words)]) == [naive(long_words)]
 
 
-def test_long_lists_give_the_groups_of_all_pairs(monkeypatch):
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 256, (6, 16), dtype=np.uint8)
-    rows = np.repeat(base, 40, axis=0)
-    rows[np.arange(len(rows)), rng.integers(3, 16, len(rows))] ^= np.uint8(1)
-    order = rng.permutation(len(rows))
-    rows = rows[order]
-    fps = [r.tobytes() for r in rows]
-    want = groups_of(fps, 8)
-    forest = {}
+def chains(rng, n, step, shared):
+    """Fingerprints that share their first bytes, each a few bits from the one before, in mixed order."""
+    rows = np.zeros((n, 16), np.uint8)
+    at = rng.integers(0, 256, 16, dtype=np.uint8)
+    for i in range(n):
+        if i % 37 == 0:  # a new chain
+            at = at.copy()
+            at[shared:] = rng.integers(0, 256, 16 - shared, dtype=np.uint8)
+        for bit in rng.choice((16 - shared) * 8, step, replace=False):
+            at[shared + bit // 8] ^= np.uint8(1 << (bit % 8))
+        rows[i] = at
+    return rows[rng.permutation(n)]
+
+
+def forest_of(n, pairs):
+    up = list(range(n))
 
     def root(x):
-        while forest.get(x, x) != x:
-            x = forest[x]
+        while up[x] != x:
+            x = up[x]
         return x
 
-    for a, b in simhash._bucket_edges(rows, np.array([0]), np.array([len(rows)]), 8):
-        for x, y in zip(a.tolist(), b.tolist()):
-            p, q = sorted((root(x), root(y)))
-            if p != q:
-                forest[q] = p
-    assert {i: root(i) for i in range(len(rows))} == want
+    for x, y in pairs:
+        p, q = sorted((root(x), root(y)))
+        up[q] = p
+    return {i: root(i) for i in range(n)}
+
+
+@pytest.mark.parametrize("n,step,cut", [(74, 8, 2048), (1000, 8, 2048), (1000, 8, 100), (1000, 3, 100), (300, 11, 64)])
+def test_chains_in_long_lists_give_the_groups_of_all_pairs(monkeypatch, n, step, cut):
+    monkeypatch.setattr(simhash, "CUT", cut)
+    for seed in range(4):
+        rows = chains(np.random.default_rng(seed), n, step, 3)
+        shared = (rows[:, None] == rows[None]).sum(2)
+        near = (np.bitwise_count(rows[:, None] ^ rows[None]).sum(2) <= 11) & (shared >= 5)
+        want = forest_of(n, zip(*(x.tolist() for x in np.nonzero(near))))
+        found = [(x, y) for a, b in simhash._bucket_edges(rows, np.array([0]), np.array([n])) for x, y in zip(a.tolist(), b.tolist())]
+        assert forest_of(n, found) == want and len(set(want.values())) > n // 40
+        assert len(found) < n + simhash._LEADS * n // 10 or n < 100
+
+
+def test_long_bands_give_near_and_far_pairs_of_all():
+    rows = chains(np.random.default_rng(9), 400, 12, 0)
+    bits = np.bitwise_count(rows[:, None] ^ rows[None]).sum(2)
+    want = forest_of(400, zip(*(x.tolist() for x in np.nonzero(bits <= 18))))
+    near, far = [], set()
+    for a, b, ok in simhash._band_edges(rows, np.array([0]), np.array([400]), 18, 31):
+        if ok:
+            near += zip(a.tolist(), b.tolist())
+        else:
+            far |= set(zip(a.tolist(), b.tolist()))
+    assert forest_of(400, near) == want
+    assert {tuple(sorted(p)) for p in far} == {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero((bits > 18) & (bits <= 31)))) if i < j and want[i] != want[j]}
 
 
 def test_pairs_within_eleven_bits_always_meet():
@@ -89,7 +141,7 @@ def test_pairs_within_eleven_bits_always_meet():
             b[bit // 8] ^= np.uint8(1 << (bit % 8))
         same = a == b
         assert same[simhash.TRIPLES].all(1).any()
-        assert simhash._matches(a[None], b[None], 11).all()
+        assert simhash._matches(a[None], b[None], simhash.CERTAIN, simhash.LEAST_SHARED).all()
 
 
 def test_copies_farther_apart_are_found_by_word_overlap(spark):
