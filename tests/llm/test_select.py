@@ -115,7 +115,13 @@ def test_solve_meets_targets():
     assert all(math.isclose(m.weights[s], x / sum(want.values())) for s, x in want.items())
     h = mixing.solve(sizes, entropy=0.9)
     assert math.isclose(-sum(w * math.log(w) for w in h.weights.values() if w), 0.9, abs_tol=1e-9)
-    assert mixing.solve(sizes, entropy=50.0).exponent == 0.0 and mixing.solve(sizes, entropy=0.0).exponent == 1.0
+    low = mixing.solve(sizes, entropy=0.2)  # below the natural shares' entropy
+    assert low.exponent > 1 and math.isclose(-sum(w * math.log(w) for w in low.weights.values() if w), 0.2, abs_tol=1e-9)
+    for unmet in ({"entropy": 50.0}, {"repetition_limit": 2.0, "budget": 10 * sum(sizes.values())}, {"repetition_limit": 0.5}):
+        with pytest.raises(ValueError):
+            mixing.solve(sizes, **unmet)
+    with pytest.raises(ValueError):  # two largest sources: no exponent tells them apart
+        mixing.solve({"a": 5, "b": 5, "c": 1}, entropy=0.5)
     k = mixing.solve(sizes, repetition_limit=3.0, keep_all=True)
     assert min(e for s, e in k.epochs.items() if sizes[s]) >= 1 - 1e-9 and max(k.epochs.values()) <= 3 + 1e-9
     assert mixing.solve({}).budget == 0 and mixing.solve({"a": 0}).weights == {"a": 0.0}
