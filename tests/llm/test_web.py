@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -113,7 +114,7 @@ def test_host_and_path():
 def test_scores_against_direct_bayes(spark, sf):
     pages = table(spark, sf, "pages")
     got = {r.page_id: r for r in urls.score_urls(pages).collect()}
-    counts = urls.unigrams(pages, "html", "url")
+    counts = {r.w: r["count"] for r in urls.word_counts(pages, "html", "url").collect()}
     model = urls.Segmenter(counts)
     rows = []
     for r in pages.select("page_id", "url").collect():
@@ -168,8 +169,25 @@ def test_url_edge_cases(spark):
     assert urls.score_urls(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("size", [5, 50])
-def test_vocabulary_is_the_most_frequent(spark, size):
-    df = spark.createDataFrame([(" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60) for _ in range(60 - i)), None)], "html string, url string")
-    got = urls.unigrams(df, "html", "url", size)
-    assert len(got) == size and min(got.values()) == 60 - size + 1
+def test_long_words_single_letters_and_other_scripts_are_in_the_model(spark):
+    long, twin = "donaudampfschifffahrtsgesellschaft", "donaudampfschifffahrtsgesell"
+    texts = f"{long} {long} {twin} alle neun 网 店 网 plan b plan b x"
+    urls_ = [f"http://neun{long}.example.com/x", f"http://{twin}plan.example.com/", "http://网店.example.com/", "http://planb.example.com/", "http://casino-" + long + ".example.org/"]
+    rows = [(i, u, texts) for i, u in enumerate(urls_)]
+    got = {r.page_id: r.host_words for r in urls.score_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[0][:2] == ["neun", long] and got[1][:2] == [twin, "plan"] and got[2][:2] == ["网", "店"] and got[3][:2] == ["plan", "b"]
+
+
+def test_labels_take_the_seeds_place_and_score_held_out_urls(spark):
+    rng = random.Random(5)
+    bad, good = ["loan", "cash", "fast", "win"], ["garden", "school", "river", "museum"]
+    rows, told = [], []
+    for i in range(400):
+        unwanted = i % 2 == 0
+        u = "http://" + "".join(rng.sample(bad if unwanted else good, 2)) + f".example.com/p{i}"
+        rows.append((i, u, " ".join(bad + good)))
+        if i < 200:
+            told.append((u, unwanted))
+    labels = spark.createDataFrame([*told, (None, True), ("http://nowhere.example.com", None)], "url string, unwanted boolean")
+    got = {r.page_id: r.blocked for r in urls.score_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string"), labels=labels).collect()}
+    assert sum(got[i] == (i % 2 == 0) for i in range(200, 400)) >= 198
