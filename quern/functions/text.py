@@ -78,11 +78,14 @@ def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
     """All n-grams of the text in lower case between two blanks, white space collapsed, shorter ones first."""
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"(?U)\s+", " "), F.lit(" "))
 
-    def of(n: Column) -> Column:
-        last = F.length(padded) - n + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(padded, i, n))).otherwise(F.array().cast("array<string>"))
+    def grams(chars: Column) -> Column:
+        def of(n: Column) -> Column:
+            return F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), ""))).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), of))
+        return F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), of))
+
+    # the characters are a variable of an outer function, so that they are made once: time is in proportion to the text
+    return F.element_at(F.transform(F.array(F.split(padded, "")), grams), 1)
 
 
 def default_title(text: Column) -> Column:

@@ -57,11 +57,20 @@ def touched(chunks: DataFrame, used: DataFrame, turn: Column) -> DataFrame:
     return chunks.join(now, "chunk_id", "left").withColumn("accessed_turn", F.when(F.col("_used"), turn.cast("int")).otherwise(F.col("accessed_turn"))).select(*chunks.columns)
 
 
+#: Parts of a table that are appended before it is written anew.
+MOST_PARTS = 64
+
+
 def orphans(children: DataFrame, parents: DataFrame, key: str, name: str) -> DataFrame:
     """(relation, n): rows of children whose key isn't null and isn't in parents."""
     return children.where(F.col(key).isNotNull()).join(parents.select(key), key, "left_anti").agg(F.lit(name).alias("relation"), F.count("*").alias("n"))
 
 
+def _parts(at: str | list[str] | None) -> list[str]:
+    """Folders of a table by its manifest's entry."""
+    return [] if at is None else [at] if isinstance(at, str) else list(at)
+
+
 class Index:
     """Tables of SCHEMAS in a folder that all executors share."""
 
@@ -132,13 +141,13 @@ class Index:
         at = self._manifest().get(name)
         if at is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        df = self.spark.read.parquet(f"{self.path}/{at}")
+        df = self.spark.read.parquet(*[f"{self.path}/{x}" for x in _parts(at)])
         want = StructType.fromDDL(SCHEMAS[name])
         if [(f.name, f.dataType) for f in df.schema] != [(f.name, f.dataType) for f in want]:
             raise ValueError(f"table {name} has the columns {df.schema.simpleString()}")
         return df
 
-    def write(self, name: str, df: DataFrame) -> None:
+    def _written(self, name: str, df: DataFrame) -> str:
         want = StructType.fromDDL(SCHEMAS[name])
         have = set(df.columns)
         rows = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
@@ -146,9 +155,24 @@ class Index:
             rows = rows.repartition("term").sortWithinPartitions("term", "chunk_id")
         at = f"{name}/{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{at}")
+        return at
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """df in the table's place."""
+        at = self._written(name, df)
         with self.transaction():
             self._pending[name] = at
 
+    def append(self, name: str, df: DataFrame) -> None:
+        """df after the table's rows, which aren't read; a table of more than MOST_PARTS parts is written anew as one."""
+        parts = _parts(self._manifest().get(name))
+        if len(parts) >= MOST_PARTS:
+            self.write(name, self.table(name).unionByName(df))
+            return
+        at = self._written(name, df)
+        with self.transaction():
+            self._pending[name] = [*parts, at]
+
     # -- content
 
     def get_meta(self, key: str) -> str | None:
@@ -159,13 +183,14 @@ class Index:
         self.write("meta", upserted(self.table("meta"), self.spark.createDataFrame([(key, value)], SCHEMAS["meta"]), ["key"]))
 
     def add(self, docs: DataFrame, chunks: DataFrame, vectors: DataFrame, postings: DataFrame) -> None:
-        """Documents with their chunks, vectors and postings, all or nothing; those of the same id are replaced."""
+        """Documents with their chunks, vectors and postings, all or nothing; those of the same id are replaced. New rows are appended; tables are written again
+        only where documents are replaced."""
         with self.transaction():
             self.delete_docs(docs.select("doc_id"))
             for name, rows in (("docs", docs), ("chunks", chunks), ("vectors", vectors), ("postings", postings)):
                 want = [f.name for f in StructType.fromDDL(SCHEMAS[name])]
                 fitting = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).alias(c) for c in want])
-                self.write(name, self.table(name).unionByName(fitting))
+                self.append(name, fitting)
 
     def _drop_chunks(self, gone: DataFrame) -> None:
         self.write("chunks", cleared_parents(without(self.table("chunks"), gone, "chunk_id"), gone))
@@ -173,15 +198,14 @@ class Index:
             self.write(name, without(self.table(name), gone, "chunk_id"))
 
     def delete_docs(self, doc_ids: DataFrame) -> None:
-        """The documents (doc_id) with all that belongs to them."""
+        """The documents (doc_id) with all that belongs to them; a document needn't have chunks. Tables without a row of theirs stay as they are."""
         with self.transaction():
-            if not self._manifest().get("chunks"):
-                return
-            gone = self.table("chunks").join(doc_ids.select("doc_id"), "doc_id", "left_semi").select("chunk_id")
-            if gone.isEmpty():
-                return
-            self._drop_chunks(gone)
-            self.write("docs", without(self.table("docs"), doc_ids, "doc_id"))
+            ids = doc_ids.select("doc_id")
+            if not self.table("docs").join(ids, "doc_id", "left_semi").isEmpty():
+                self.write("docs", without(self.table("docs"), ids, "doc_id"))
+            gone = self.table("chunks").join(ids, "doc_id", "left_semi").select("chunk_id")
+            if not gone.isEmpty():
+                self._drop_chunks(gone)
 
     def delete_chunks(self, chunk_ids: DataFrame) -> None:
         with self.transaction():
@@ -211,7 +235,7 @@ class Index:
 
     def vacuum(self) -> int:
         """Deletes the files of former versions; returns how many folders went."""
-        live, gone = set(self._manifest().values()), 0
+        live, gone = {x for at in self._manifest().values() for x in _parts(at)}, 0
         for name in SCHEMAS:
             at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             for s in self._fs.listStatus(at) if self._fs.exists(at) else []:

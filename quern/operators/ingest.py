@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encode as E
 from ..functions import text as T
 from ..functions import vectors as V
+from ..session import checkpointed
 
 #: Chunks of a document; ids are doc_id x this + place, so they keep the order of documents and places. Parents and summaries have ids of their own.
 MOST_CHUNKS = 512
@@ -94,15 +95,15 @@ def index_vectors(searchable: DataFrame, encoder: E.Encoder | None = None, signa
 
 
 def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """rows with id: 1, 2, ... in the order given. Only counts of the range partitions meet on the driver."""
+    """rows with id: 1, 2, ... in the order given. The sorted partitions are written once, so that counts and rows are of the same partitions; only one count
+    for each partition meets on the driver. Rows that are equal in the order come in any order among themselves."""
     spark = rows.sparkSession
-    parts = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    sizes = {r["_part"]: r["count"] for r in parts.groupBy("_part").count().collect()}
-    before, at = [], 0
-    for p in sorted(sizes):
-        before += [F.lit(p), F.lit(at).cast("bigint")]
-        at += sizes[p]
-    if not before:
-        return rows.withColumn("id", F.lit(None).cast("bigint"))
-    own = Window.partitionBy("_part").orderBy(*order)
-    return parts.withColumn("id", F.row_number().over(own) + F.create_map(*before)[F.col("_part")]).drop("_part")
+    sorted_ = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()  # the partition and, below it, 33 bits of the place there
+    parts = checkpointed(sorted_).withColumns({"_part": F.shiftright(place, 33), "_at": place.bitwiseAND((1 << 33) - 1)})
+    before, so_far = [], 0
+    for part, n in sorted((r["_part"], r["count"]) for r in parts.groupBy("_part").count().collect()):
+        before.append((part, so_far))
+        so_far += n
+    starts = spark.createDataFrame(before, "_part bigint, _before bigint")
+    return parts.join(F.broadcast(starts), "_part").withColumn("id", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")

@@ -86,9 +86,9 @@ def windows(turns: DataFrame, every: int = SUMMARY_EVERY) -> DataFrame:
     return rows.where(F.size("t") == every).select("conv_id", ((F.col("g") + 1) * every).alias("upto"), F.transform("t", lambda x: x["text"]).alias("texts"))
 
 
-def consolidate(turns: DataFrame, summarize: Callable[[str | None, list[str]], str | None], every: int = SUMMARY_EVERY) -> DataFrame:
+def consolidate(turns: DataFrame, summarize: Callable[[str | None, list[str]], str | None], every: int = SUMMARY_EVERY, turn_chars: int | None = None) -> DataFrame:
     """(conv_id, upto, summary): the rolling summary after each conversation's last full window. summarize(previous, texts) is the caller's model;
-    a window for which it fails or gives nothing leaves the summary as it was."""
+    a window for which it fails or gives nothing leaves the summary as it was. turn_chars: cut each turn for a model with little room (1200, say); by default turns are whole."""
     ensure_importable(turns.sparkSession)
     parts = windows(turns, every)
 
@@ -96,7 +96,7 @@ def consolidate(turns: DataFrame, summarize: Callable[[str | None, list[str]], s
         summary, at = None, 0
         for r in rows.sort_values("upto").itertuples(index=False):
             try:
-                new = summarize(summary, [t[:1200] for t in r.texts])
+                new = summarize(summary, [t[:turn_chars] for t in r.texts])
             except Exception:  # a model's failure never stops the conversation
                 new = None
             if new:
@@ -111,13 +111,18 @@ def corpus_tokens(chunks: DataFrame, kinds: tuple[str, ...] = ("chunk", "turn"))
 
 
 def build_context(chunks: DataFrame, hits: DataFrame, turns: DataFrame, now: Column, budget: int = BUDGET, small: int = SMALL_CORPUS) -> DataFrame:
-    """(query_id, chunk_id, rank, chosen, used): what goes into the prompt. A corpus of up to `small` tokens goes in whole, in order of chunk_id;
-    otherwise the rescored hits, without the most recent turns (which go in as they are), within the budget."""
+    """(query_id, chunk_id, rank, chosen, used, part): what goes into the prompt. A corpus of up to `small` tokens goes in whole (part "corpus"), in order of chunk_id;
+    otherwise the rescored hits (part "memory") within the budget, without the most recent turns: these (part "recent") go in as they are, in the order of the
+    conversations and turns, beside the budget. turns: (conv_id, turn_no, chunk_id, text); the last RECENT of each conversation are recent, for every query."""
     total = corpus_tokens(chunks).first()["n_tokens"]
     if total <= small:
         own = chunks.where(F.col("kind").isin("chunk", "turn"))
         order = Window.partitionBy("query_id").orderBy("chunk_id")
         every = hits.select("query_id").distinct().crossJoin(own.select("chunk_id", "text", "n_tokens"))
-        return every.select("query_id", "chunk_id", F.row_number().over(order).alias("rank"), F.col("text").alias("chosen"), F.sum("n_tokens").over(order).cast("int").alias("used"))
-    last = recent_turns(turns).select("chunk_id")
-    return within_budget(rescore(hits.join(last, "chunk_id", "left_anti"), now), budget)
+        return every.select("query_id", "chunk_id", F.row_number().over(order).alias("rank"), F.col("text").alias("chosen"), F.sum("n_tokens").over(order).cast("int").alias("used"), F.lit("corpus").alias("part"))
+    last = recent_turns(turns)
+    found = within_budget(rescore(hits.join(last.select("chunk_id"), "chunk_id", "left_anti"), now), budget).withColumn("part", F.lit("memory"))
+    listed = last.groupBy().agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn_no", "chunk_id", "text"))).alias("t"))  # RECENT turns of each open conversation
+    recent = hits.select("query_id").distinct().join(F.broadcast(listed)).select("query_id", F.posexplode("t").alias("i", "r"))
+    recent = recent.select("query_id", "r.chunk_id", (F.col("i") + 1).alias("rank"), F.col("r.text").alias("chosen"), F.lit(0).alias("used"), F.lit("recent").alias("part"))
+    return recent.unionByName(found)

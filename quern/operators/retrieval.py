@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,14 +96,17 @@ Rerank = Callable[[DataFrame], DataFrame]
 def expanded(queries: DataFrame, expand: Callable[[str], list[str]], most: int = 10) -> DataFrame:
     """(query_id, part, text): each query with up to `most` distinct other wordings from the caller's function; if it fails the query stands alone."""
 
-    @F.udf("array<string>")
-    def more(text: str) -> list[str]:
+    def wordings(text: str) -> list[str]:
         try:
             other = [x.strip() for x in expand(text) if x and x.strip()]
         except Exception:  # a model's failure leaves the query as it is
             other = []
         return list(dict.fromkeys([text, *other]))[: most + 1]
 
+    @F.arrow_udf("array<string>")
+    def more(texts: pa.Array) -> pa.Array:
+        return pa.array([wordings(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
     return queries.select("query_id", F.posexplode(more("text")).alias("part", "text"))
 
 

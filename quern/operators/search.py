@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import ensure_importable
+from ..session import checkpointed, ensure_importable
 
 SEARCHABLE = ("chunk", "turn", "summary")
 KINDS = (*SEARCHABLE, "parent", "rolling_summary")
@@ -91,68 +91,89 @@ def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> Dat
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def blocks_topk(queries: DataFrame, rows: DataFrame, k: int, read: Callable[[pa.Array], np.ndarray], score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """The k best rows of each query. queries (query_id LONG, v), rows (chunk_id LONG, v).
+class _Best:
+    """The k best rows of each query so far: of what a task has seen, only rows that can still be among them are held."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.floor = np.full(len(ids), -np.inf)
+        self.held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+    def add(self, query: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> None:
+        self.held = [np.concatenate(x) for x in zip(self.held, (query, chunk, score))]
+        if len(self.held[0]) > 4 * self.k * len(self.ids):
+            self.cut()
+
+    def cut(self) -> None:
+        order = np.lexsort((self.held[1], -self.held[2], self.held[0]))
+        a, b, c = (x[order] for x in self.held)
+        starts = np.flatnonzero(np.diff(a, prepend=-1))
+        rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+        keep = rank < self.k
+        self.held = [a[keep], b[keep], c[keep]]
+        last = rank == self.k - 1
+        self.floor[a[last]] = c[last]
+
+    def rows(self) -> pa.RecordBatch:
+        self.cut()
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.held[0]]), pa.array(self.held[1]), pa.array(self.held[2])], names=["query_id", "chunk_id", "score"])
+
+
+_BEST = "query_id bigint, chunk_id bigint, score double"
 
-    Queries go to the tasks in parts of QUERY_BYTES; each task scores whole batches against a part and sends only rows that can still be among its own k best, so
-    what is exchanged is k rows for each query and task at most. score(rows, queries) gives a matrix, greater is better.
-    """
-    spark = ensure_importable(rows.sparkSession)
-    parts: list[DataFrame] = []
-    ids: list[int] = []
-    vectors: list = []
-
-    def part() -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), read(pa.array(vectors, rows_type))))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, q = sent.value
-            floor = np.full(len(q_ids), -np.inf)
-            held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-
-            def cut() -> None:
-                order = np.lexsort((held[1], -held[2], held[0]))
-                a, b, c = (x[order] for x in held)
-                starts = np.flatnonzero(np.diff(a, prepend=-1))
-                rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
-                keep = rank < k
-                held[:] = [a[keep], b[keep], c[keep]]
-                last = rank == k - 1
-                floor[a[last]] = c[last]
-
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    some = batch.slice(at, 1024)
-                    own = some.column(0).to_numpy(zero_copy_only=False)
-                    s = score(read(some.column(1)), q)
-                    r, c = np.nonzero(s >= floor[None, :])
-                    held[:] = [np.concatenate([held[0], c]), np.concatenate([held[1], own[r]]), np.concatenate([held[2], s[r, c]])]
-                    if len(held[0]) > 4 * k * len(q_ids):
-                        cut()
-            cut()
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query_id", "chunk_id", "score"])
-
-        return rows.mapInArrow(run, "query_id bigint, chunk_id bigint, score double")
-
-    rows_type = None
-    import pyspark.sql.pandas.types as types
 
+def blocks_topk(queries: DataFrame, rows: DataFrame, k: int, read: Callable[[pa.Array], np.ndarray], score: Callable[[np.ndarray, np.ndarray], np.ndarray], query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """The k best rows of each query. queries (query_id LONG, v), rows (chunk_id LONG, v). score(rows, queries) gives a matrix, greater is better.
+
+    Queries of up to query_bytes together are sent to all tasks, which score whole batches of rows where these are. More of them are cut into blocks, as
+    the rows are, and each block of queries meets each block of rows in a task; no query passes the driver. A task sends k rows for each of its queries at most.
+    """
+    ensure_importable(rows.sparkSession)
     rows = rows.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "v").where("v is not null")
-    rows_type = types.to_arrow_type(rows.schema["v"].dataType)
-    size = 0
-    for r in queries.select("query_id", "v").where("v is not null").toLocalIterator():  # a part of bounded size at a time
-        ids.append(r[0])
-        vectors.append(r[1])
-        size += 8 * len(r[1])
-        if size >= QUERY_BYTES:
-            parts.append(part())
-            ids, vectors, size = [], [], 0
-    if ids or not parts:
-        parts.append(part())
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return top_k(out, k)
+    queries = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "v").where("v is not null")
+    size = queries.agg(F.coalesce(F.sum(8 * F.size("v")), F.lit(0))).first()[0]
+    if size > query_bytes:
+        return top_k(_met_blocks(queries, rows, k, read, score, -(-size // query_bytes), query_bytes), k)
+    got = queries.toArrow()
+    v = got["v"].combine_chunks()
+    sent = rows.sparkSession.sparkContext.broadcast((got["query_id"].to_numpy(), read(v.chunk(0) if isinstance(v, pa.ChunkedArray) else v)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = sent.value
+        best = _Best(q_ids, k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                _meet(best, batch.column(0).slice(at, 1024), batch.column(1).slice(at, 1024), q, read, score)
+        yield best.rows()
+
+    return top_k(rows.mapInArrow(run, _BEST), k)
+
+
+def _meet(best: _Best, ids: pa.Array, v: pa.Array, q: np.ndarray, read, score) -> None:
+    s = score(read(v), q)
+    r, c = np.nonzero(s >= best.floor[None, :])
+    best.add(c, ids.to_numpy(zero_copy_only=False)[r], s[r, c])
+
+
+def _met_blocks(queries: DataFrame, rows: DataFrame, k: int, read, score, n: int, block_bytes: int) -> DataFrame:
+    """Every block of queries (n of them) with every block of rows."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = rows.agg(F.coalesce(F.sum(8 * F.size("v")), F.lit(0))).first()[0]
+    own = rows.withColumn("r", F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-total // block_bytes))))).groupBy("r").agg(F.collect_list(F.struct("chunk_id", "v")).alias("rows"))
+    asked = queries.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(n))).groupBy("q").agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
+    spread = max(1, -(-parts // n))  # copies of each block of queries, so that all tasks have work
+    own = own.select("rows", F.pmod("r", F.lit(spread)).alias("s"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("q"))
+    asked = asked.select("q", "queries", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))).alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1)):
+                best, q = _Best(y.values.field(0).to_numpy(zero_copy_only=False), k), read(y.values.field(1))
+                for at in range(0, len(x.values), 1024):
+                    _meet(best, x.values.field(0).slice(at, 1024), x.values.field(1).slice(at, 1024), q, read, score)
+                yield best.rows()
+
+    return own.join(asked, ["q", "s"]).select("rows", "queries").mapInArrow(run, _BEST)
 
 
 def _matrix(dims: int) -> Callable[[pa.Array], np.ndarray]:
@@ -231,11 +252,12 @@ def sparse_topk(queries: DataFrame, postings: DataFrame, universe: DataFrame, k:
 
     queries (query_id, term, weight), postings (term, chunk_id, weight), universe (chunk_id): all searchable chunks; their number and the document frequencies
     over them make the IDF, also where scope (chunk_id) restricts what is scored. Weights may be negative; a chunk with a negative
-    sum stays. Terms nobody has count nothing. Only the query's terms leave the postings before the score is summed, map-side first.
+    sum stays. Terms nobody has count nothing. Only the query's terms leave the postings before the score is summed, map-side first. Both are
+    read once and written, since document frequencies and scores need them: postings are often made from texts on the way.
     """
-    q = queries.groupBy("query_id", "term").agg(F.sum("weight").alias("qw"))
+    q = checkpointed(queries.groupBy("query_id", "term").agg(F.sum("weight").alias("qw")))
     terms = q.select("term").distinct()
-    wanted = postings.join(terms, "term", "left_semi").join(universe.select("chunk_id"), "chunk_id", "left_semi")
+    wanted = checkpointed(postings.join(terms, "term", "left_semi").join(universe.select("chunk_id"), "chunk_id", "left_semi"))
     n = universe.agg(F.greatest(F.lit(1), F.count("*")).alias("n"))
     weight_of = wanted.groupBy("term").agg(F.countDistinct("chunk_id").alias("df")).crossJoin(F.broadcast(n)).select("term", idf(F.col("n"), F.col("df")).alias("idf"))
     scored = wanted if scope is None else wanted.join(scope.select("chunk_id"), "chunk_id", "left_semi")
@@ -244,28 +266,57 @@ def sparse_topk(queries: DataFrame, postings: DataFrame, universe: DataFrame, k:
     return top_k(sums, k)
 
 
-def maxsim_topk(queries: DataFrame, docs: DataFrame, pool: DataFrame, k: int, binary: bool = False, decimals: int = 6) -> DataFrame:
+def _similarity(x: np.ndarray, y: np.ndarray, binary: bool) -> np.ndarray:
+    """For each row of x its greatest likeness to a row of y."""
+    if binary:
+        apart = np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(2)
+        return 1 - 2 * apart.min(1) / (64 * x.shape[1])
+    return (x.astype(np.float64) @ y.astype(np.float64).T).max(1)
+
+
+def _rows_of(matrix: pa.Scalar) -> np.ndarray | None:
+    a = matrix.values
+    return None if a is None or not len(a) else a.flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1)
+
+
+def maxsim_topk(queries: DataFrame, docs: DataFrame, pool: DataFrame, k: int, binary: bool = False, decimals: int = 6, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """Late interaction over a candidate pool (query_id, chunk_id). queries (query_id, tokens), docs (chunk_id, tokens): matrices of floats, or of LONG words if binary.
-    Matrices meet only for pairs of the pool; each pair is one product of two matrices."""
-
-    @F.arrow_udf("double")
-    def both(q: pa.Array, d: pa.Array) -> pa.Array:
-        out = np.zeros(len(q))
-        for i in range(len(q)):
-            a, b = q[i].values, d[i].values
-            if a is None or b is None or not len(a) or not len(b):
-                continue
-            x = a.flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1)
-            y = b.flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
-            if binary:
-                apart = np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(2)
-                out[i] = (1 - 2 * apart.min(1) / (64 * x.shape[1])).mean()
-            else:
-                out[i] = (x.astype(np.float64) @ y.astype(np.float64).T).max(1).mean()
-        return pa.array(out)
-
-    pairs = pool.select("query_id", "chunk_id").distinct().join(queries.select("query_id", F.col("tokens").alias("qt")), "query_id").join(docs.select("chunk_id", F.col("tokens").alias("dt")), "chunk_id")
-    return top_k(pairs.select("query_id", "chunk_id", (F.round(both("qt", "dt"), decimals) + 0.0).alias("score")), k)
+
+    Matrices meet only for pairs of the pool. Queries of up to query_bytes together are sent to all tasks, and a chunk's matrix is joined once, with the list of
+    its queries; beyond, both matrices are joined to each pair."""
+    pairs = pool.select("query_id", "chunk_id").distinct()
+    asked = queries.select("query_id", "tokens")
+    size = asked.agg(F.coalesce(F.sum(F.when(F.size("tokens") > 0, 8 * F.size("tokens") * F.size(F.col("tokens")[0]))), F.lit(0))).first()[0]
+    score = (F.round("s", decimals) + 0.0).alias("score")
+    if size > query_bytes:
+
+        @F.arrow_udf("double")
+        def both(q: pa.Array, d: pa.Array) -> pa.Array:
+            met = [(_rows_of(a), _rows_of(b)) for a, b in zip(q, d)]
+            return pa.array([0.0 if x is None or y is None else float(_similarity(x, y, binary).mean()) for x, y in met])
+
+        joined = pairs.join(asked.withColumnRenamed("tokens", "qt"), "query_id").join(docs.select("chunk_id", F.col("tokens").alias("dt")), "chunk_id")
+        return top_k(joined.select("query_id", "chunk_id", both("qt", "dt").alias("s")).select("query_id", "chunk_id", score), k)
+    got = asked.toArrow()
+    sent = queries.sparkSession.sparkContext.broadcast({i: _rows_of(m) for i, m in zip(got["query_id"].to_pylist(), got["tokens"])})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sent.value
+        for batch in batches:
+            out: list[tuple] = []
+            for chunk, ids, matrix in zip(batch.column(0), batch.column(1), batch.column(2)):
+                y, some = _rows_of(matrix), [i for i in ids.as_py() if i in held]
+                with_rows = [i for i in some if held[i] is not None] if y is not None else []
+                out += [(i, chunk.as_py(), 0.0) for i in set(some).difference(with_rows)]
+                if with_rows:
+                    best = _similarity(np.concatenate([held[i] for i in with_rows]), y, binary)
+                    ends = np.cumsum([len(held[i]) for i in with_rows])
+                    out += [(i, chunk.as_py(), float(part.mean())) for i, part in zip(with_rows, np.split(best, ends[:-1]))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], batch.column(1).type.value_type), pa.array([r[1] for r in out], batch.column(0).type), pa.array([r[2] for r in out], pa.float64())], names=["query_id", "chunk_id", "s"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    listed = pairs.groupBy("chunk_id").agg(F.collect_list("query_id").alias("ids")).join(docs.select("chunk_id", "tokens"), "chunk_id").select("chunk_id", "ids", "tokens")
+    return top_k(listed.mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, s double").select("query_id", "chunk_id", score), k)
 
 
 def lookup(table: DataFrame, ids: list[int], id_col: str = "chunk_id") -> DataFrame:

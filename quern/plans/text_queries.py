@@ -76,7 +76,7 @@ def index_signatures(spark, sf):
 
 
 def ngram_stats(spark, sf):
-    grams = table(spark, sf, "benchmark").select(F.explode(T.char_ngrams(F.col("text"))).alias("gram"))
+    grams = _documents(spark, sf).select(F.explode(T.char_ngrams(F.col("text"))).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
@@ -99,7 +99,7 @@ _PRINT = r"sha256(lower(" + _STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g'
 
 def numbered_blocks(spark, sf):
     turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return turns.select("conv_id", T.numbered(F.transform("t", lambda x: x["text"]), 200).alias("block"))
+    return turns.select("conv_id", T.numbered(F.transform("t", lambda x: x["text"]), 6500).alias("block"))
 
 
 def ingest_chunks(spark, sf):
@@ -170,9 +170,11 @@ SQL = {
     "token_stats": f"WITH w AS ({_WORDS}) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM w GROUP BY term",
     "sparse_encode": f"WITH w AS ({_WORDS}) SELECT doc_id, term, round(1 + ln(count(*)), 6) AS weight FROM w GROUP BY doc_id, term",
     "ngram_stats": r"""
-WITH p AS (SELECT ' ' || regexp_replace(lower(text), '\s+', ' ', 'g') || ' ' AS t FROM benchmark),
-g AS (SELECT unnest(flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, greatest(length(t) - n + 2, 1)), lambda i: substring(t, i, n))))) AS gram FROM p)
-SELECT gram, count(*) AS n FROM g GROUP BY gram""",
+WITH p AS (SELECT doc_id, string_split(' ' || regexp_replace(lower(text), '\s+', ' ', 'g') || ' ', '') AS c FROM documents),
+x AS (SELECT doc_id, unnest(c) AS a, generate_subscripts(c, 1) AS i FROM p),
+w AS (SELECT a || lead(a, 1) OVER o || lead(a, 2) OVER o AS g3, lead(a, 3) OVER o AS d, lead(a, 4) OVER o AS e FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT g3 AS gram FROM w UNION ALL SELECT g3 || d FROM w UNION ALL SELECT g3 || d || e FROM w)
+SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram""",
     "titles": f"""
 WITH d AS (SELECT doc_id, text, {_TITLE.format("text")} AS title FROM documents)
 SELECT doc_id, title, CASE WHEN length(title) = 0 OR contains(text, title) THEN text ELSE '[' || title || '] ' || text END AS ctx FROM d""",
@@ -181,7 +183,7 @@ SELECT doc_id, CASE WHEN length(text) <= 20000 THEN text
   ELSE array_to_string(list_transform(range(8), lambda i: substring(text, CAST(i * (length(text) // 8) + 1 AS BIGINT), 2500)), chr(10) || '[...]' || chr(10)) END AS digest FROM documents""",
     "exact_duplicates": f"WITH f AS (SELECT doc_id, {_PRINT} AS fingerprint FROM documents) SELECT fingerprint, count(*) AS n, min(doc_id) AS first_id FROM f GROUP BY fingerprint HAVING count(*) > 1",
     "numbered_blocks": """
-WITH t AS (SELECT conv_id, turn, '[' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || '] ' || substring(text, 1, 200) AS x FROM conversations)
+WITH t AS (SELECT conv_id, turn, '[' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || '] ' || substring(text, 1, 6500) AS x FROM conversations)
 SELECT conv_id, string_agg(x, chr(10) || chr(10) ORDER BY turn) AS block FROM t GROUP BY conv_id""",
     "ingest_documents": f"WITH d AS (SELECT doc_id, source, {_NORMAL} AS text FROM documents) SELECT doc_id, source, {_TITLE.format('text')} AS title, {_tokens_sql('text')} AS n_tokens FROM d WHERE text <> ''",
     "numbered_ids": "SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id DESC) AS id FROM documents",

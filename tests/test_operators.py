@@ -246,11 +246,11 @@ def test_memory(spark):
 def test_context_of_a_small_corpus_is_all_of_it(spark):
     chunks = spark.createDataFrame([(1, "chunk", "one two", 1, None), (2, "turn", "three", 1, 1), (3, "parent", "window", 1, None)], "chunk_id bigint, kind string, text string, n_tokens int, turn_no int")
     hits = spark.createDataFrame([(5, 1, "chunk", None, None, 0.5, 1.0, 1, "one two", "one two wide"), (5, 2, "turn", 1, None, 0.5, 0.9, 2, "three", "three")], "query_id bigint, chunk_id bigint, kind string, turn_no int, accessed_turn int, importance double, score double, rank int, text string, wide string")
-    turns = spark.createDataFrame([(1, 1, 2)], "conv_id bigint, turn_no int, chunk_id bigint")
+    turns = spark.createDataFrame([(1, 1, 2, "three")], "conv_id bigint, turn_no int, chunk_id bigint, text string")
     whole = M.build_context(chunks, hits, turns, F.lit(1)).orderBy("rank").collect()
     assert [r.chosen for r in whole] == ["one two", "three"]
     searched = M.build_context(chunks, hits, turns, F.lit(1), small=0).collect()
-    assert [r.chosen for r in searched] == ["one two wide"]  # the recent turn goes in as it is
+    assert [(r.part, r.chosen) for r in searched] == [("recent", "three"), ("memory", "one two wide")]  # the recent turn goes in as it is
 
 
 def test_metrics(spark):
