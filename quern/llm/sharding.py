@@ -61,7 +61,15 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_
 
 
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> None:
-    """df as Parquet below path, a folder for each shard, rows in order of id. Ids must be unique and not null."""
+    """df as Parquet below path, a folder for each shard, rows in order of id. Options: see shard.
+
+    Ids name the rows here: a null or repeated id, and a column named shard, are a ValueError, before anything is written; so there are no ties. Null and empty texts have 0
+    bytes, other columns are kept, whatever their names; long texts are written whole. An empty table writes no shard. A path that exists is an error.
+    """
+    if "shard" in df.columns:
+        raise ValueError("the table has a column named shard")
     plan = shard(df, id_col, text_col, **options).select(F.col(id_col).alias("_shard_id"), F.col("shard").alias("_shard"))
+    if not plan.groupBy("_shard_id").count().where("_shard_id is null or count > 1").isEmpty():
+        raise ValueError(f"{id_col} has null or repeated ids")
     rows = df.join(plan, df[id_col] == plan["_shard_id"]).drop("_shard_id")
     rows.repartition("_shard").sortWithinPartitions("_shard", id_col).withColumnRenamed("_shard", "shard").write.mode("error").partitionBy("shard").parquet(path)

@@ -230,3 +230,14 @@ def test_sharding_edge_cases(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 100
     assert {r.doc_id: r.shard for r in back.collect()} == {r.doc_id: r.shard for r in sharding.shard(own, n_shards=4).collect()}
+
+
+def test_shards_are_written_for_unique_ids_only(spark, tmp_path):
+    rows = [(1, "a", 5), (2, None, 6), (3, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, byte_start int")
+    sharding.write_shards(df, str(tmp_path / "a"), n_shards=2)
+    assert sorted((r.doc_id, r.text, r.byte_start) for r in spark.read.parquet(str(tmp_path / "a")).collect()) == sorted(rows, key=lambda r: r[0])
+    for bad in (df.union(df), df.unionByName(spark.createDataFrame([(None, "x", 1)], df.schema)), df.withColumnRenamed("byte_start", "shard")):
+        with pytest.raises(ValueError):
+            sharding.write_shards(bad, str(tmp_path / "b"))
+    assert not (tmp_path / "b").exists()
