@@ -48,7 +48,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Every other stage is written as Parquet to the shared checkpoint folder and read again."""
+    """The last stage's rows. Every other stage is written as Parquet to the shared checkpoint folder and read again; the folder of a stage
+    goes when the next one is written, so that one of them is left for the result to read."""
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
@@ -57,4 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{base}/{i}")
             docs = spark.read.parquet(f"{base}/{i}")
+            if i:
+                before = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{i - 1}")
+                before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(before, True)
     return docs
