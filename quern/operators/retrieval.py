@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import encode as E
 from ..functions import text as T
 from ..functions import vectors as V
+from ..session import checkpointed
 from . import diversity as D
 from . import fusion as U
 from . import hydrate as H
@@ -167,13 +168,17 @@ def search_legacy(queries: DataFrame, corpus: Corpus, config: Config | None = No
     """Three fused channels (dense, sparse, structural over the union of both), then reranker, then fermionic selection where more than k are left."""
     c = config or Config.of(queries.sparkSession)
     q, terms = encoded_queries(queries, corpus.encoder, expand, normalize=False)
+    q = checkpointed(q)
     dense, sparse, own = _channels(q, terms, corpus, c)
+    # rankings of a batch of queries are small and each is read several times: they are written instead of searched for again
+    dense, sparse = checkpointed(dense), checkpointed(sparse)
     both = U.with_channel(dense, "dense").unionByName(U.with_channel(sparse, "sparse"))
     pool = U.candidate_union(both)
     structural = _structural(q, own, pool, c.channel_k, corpus, c.binary)
     channels = both.unionByName(U.with_channel(structural, "structural"))
     diverse = c.diversity_method != "none" and c.diversity > 0
     depth = max(c.k, c.rerank_pool if rerank else 0, c.diversity_pool if diverse else 0)
+    channels = checkpointed(channels)
     fused = U.fuse(channels, c.weights, depth, c.fusion, c.strength, c.rrf_k, c.coherence_strength, decimals=6)
     ranked = _reranked(fused, corpus, c.rerank_pool, rerank) if rerank else fused
     final = ranked.select("query_id", "chunk_id", "score", "rank")
@@ -190,15 +195,20 @@ def search_v2(queries: DataFrame, corpus: Corpus, config: Config | None = None,
     """Two generators, fusion, structural rerank of the best, reranker, selection, hydration with backfill. The result's score is 1 / rank; fusion_score and fusion_rank stay."""
     c = config or Config.of(queries.sparkSession, "v2")
     q, terms = encoded_queries(queries, corpus.encoder, expand)
+    q = checkpointed(q)
     dense, sparse, own = _channels(q, terms, corpus, c)
+    dense, sparse = checkpointed(dense), checkpointed(sparse)
     channels = U.with_channel(dense, "dense").unionByName(U.with_channel(sparse, "sparse"))
     depth = max(2 * c.k, c.structural_depth if c.structural else 0, c.rerank_pool if rerank else 0, c.diversity_pool if c.diversity_method != "none" else 0)
     weights = {} if c.fusion == "rrf" else {x: c.weights.get(x, 1.0) for x in ("dense", "sparse")}
     fused = U.fuse(channels, weights, min(depth, 1000), c.fusion, c.strength, c.rrf_k, 0.0 if c.fusion == "rrf" else c.coherence_strength, decimals=9)
+    fused = checkpointed(fused)
     ranked = fused.select("query_id", "chunk_id", F.col("score").alias("fusion_score"), "rank", F.col("rank").alias("fusion_rank"))
     if c.structural and c.structural_weight > 0:
         head = fused.where(F.col("rank") <= c.structural_depth).select("query_id", "chunk_id")
         ranked = U.structural_blend(ranked.drop("fusion_rank"), _structural(q, own, head, c.structural_depth, corpus, c.binary), c.structural_weight, c.rrf_k)
+    if rerank or c.diversity_method != "none":
+        ranked = checkpointed(ranked)
     if rerank:
         ranked = _reranked(ranked, corpus, c.rerank_pool, rerank)
     if c.diversity_method != "none":
