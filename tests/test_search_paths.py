@@ -92,3 +92,20 @@ def test_inverted_file_reaches_its_recall(spark):
     assert A.search(queries.limit(0), index, 10, 1).count() == 0
     empty = A.build(rows.limit(0), 16)
     assert A.search(queries, empty, 10, A.probes_for(queries, empty, 10)).count() == 0
+
+
+def test_line_ids_and_window_ids_never_meet(spark, tmp_path):
+    import duckdb
+
+    from quern.plans import text_queries as Q
+
+    # window 0 of the second document had the id of line `line` of the first
+    first, line, second = next((a, b * 2048 + 100_000 - a * 1_000_000, b) for a in range(1, 200) for b in range(1, 100_000) if 0 <= b * 2048 + 100_000 - a * 1_000_000 < 40)
+    texts = [(first, "\n".join(f"line {i}" for i in range(60))), (second, "\n".join(f"other {i}" for i in range(6)))]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("hydrate_parents", "stitch"):
+        got = Q.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({Q.SQL[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 66, (name, line)
