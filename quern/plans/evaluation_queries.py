@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluate as V
 from ..operators import search as S
-from ..session import table
+from ..session import checkpointed, table
 from .search_queries import SQL as SEARCH_SQL
 from .search_queries import _lexical
 from .text_queries import _PRINT
@@ -61,7 +61,8 @@ def latency_percentiles(spark, sf):
 
 
 def _stages(spark, sf):
-    wide, narrow = _rankings(spark, sf), _rankings(spark, sf, 10)
+    wide = checkpointed(_rankings(spark, sf))  # read for every stage and check
+    narrow = wide.where("rank <= 10")
     return wide.select(F.lit("wide").alias("stage"), "query_id", "doc_id", "rank").unionByName(narrow.select(F.lit("narrow").alias("stage"), "query_id", (F.col("doc_id") - F.when(F.col("rank") == 10, 1).otherwise(0)).alias("doc_id"), "rank"))
 
 

@@ -109,3 +109,34 @@ def test_line_ids_and_window_ids_never_meet(spark, tmp_path):
         got = Q.QUERIES[name](spark, str(tmp_path))
         want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({Q.SQL[name]})").fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 66, (name, line)
+
+
+def test_a_task_scores_a_bounded_number_of_pairs_at_a_time(spark):
+    x, rows = made_vectors(spark, 2500, 4, 5)
+    most = 1024 * 1024
+
+    def score(r, q):
+        if len(r) * len(q) > most:
+            raise MemoryError(f"{len(r)} x {len(q)}")
+        return np.round(r @ q.T, 6) + 0.0
+
+    got = S.blocks_topk(rows.withColumnRenamed("chunk_id", "query_id"), rows, 3, S._matrix(4), score).collect()
+    want = np.round(x @ x.T, 6)
+    assert {(r.query_id, r.chunk_id) for r in got if r.query_id < 50} == {(a, int(b)) for a in range(50) for b in np.lexsort((np.arange(2500), -want[a]))[:3]}
+    assert len(got) == 7500
+
+
+def test_sparse_queries_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    p = np.unique(rng.integers(0, 60, (3000, 2)) * [5, 1], axis=0)
+    w, qs = rng.normal(size=len(p)), np.unique(rng.integers(0, 70, (400, 2)), axis=0)
+    posts = spark.createDataFrame([(int(c), f"t{t}", float(x)) for (c, t), x in zip(p, w)], "chunk_id bigint, term string, weight double")
+    asked = spark.createDataFrame([(f"q{a}", f"t{t}", 0.5 + a % 3) for a, t in qs.tolist()], "query_id string, term string, weight double")
+    universe = posts.select("chunk_id").distinct()
+    df, n, want = np.bincount(p[:, 1], minlength=70), len(np.unique(p[:, 0])), {}
+    for a, t in qs.tolist():
+        for (c, _), x in zip(p[p[:, 1] == t].tolist(), w[p[:, 1] == t]):
+            want.setdefault(f"q{a}", {}).setdefault(c, []).append((0.5 + a % 3) * x * np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)))
+    best = {(q, c) for q, own in want.items() for c in sorted(own, key=lambda c: (-round(sum(own[c]), 6), c))[:4]}
+    for size in (1 << 20, 20_000):
+        assert {(r.query_id, r.chunk_id) for r in S.sparse_topk(asked, posts, universe, 4, query_bytes=size).collect()} == best
