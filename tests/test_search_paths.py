@@ -140,3 +140,17 @@ def test_sparse_queries_in_blocks(spark):
     best = {(q, c) for q, own in want.items() for c in sorted(own, key=lambda c: (-round(sum(own[c]), 6), c))[:4]}
     for size in (1 << 20, 20_000):
         assert {(r.query_id, r.chunk_id) for r in S.sparse_topk(asked, posts, universe, 4, query_bytes=size).collect()} == best
+
+
+def test_late_interaction_makes_matrices_of_the_pool_on_the_way(spark):
+    from quern.functions import encode as E
+
+    model = E.HashEncoder(dense_dim=32, token_dim=16)
+    texts = spark.createDataFrame([(i, f"word{i % 7} and word{i % 3} or {'more ' * (i % 5)}") for i in range(40)], "chunk_id bigint, text string")
+    rows = E.encode(texts, "chunk_id", "text", model)
+    queries = rows.where("chunk_id < 5").select(F.col("chunk_id").alias("query_id"), "tokens")
+    pool = queries.select("query_id").crossJoin(texts.where("chunk_id % 2 = 0").select("chunk_id"))
+    want = sorted(map(tuple, S.maxsim_topk(queries, rows, pool, 6).select("query_id", "chunk_id", "score", "rank").collect()))
+    for size in (1 << 20, 10):
+        got = S.maxsim_topk(queries, texts.withColumnRenamed("text", "tokens"), pool, 6, query_bytes=size, encode=model.tokens)
+        assert sorted(map(tuple, got.select("query_id", "chunk_id", "score", "rank").collect())) == want and len(want) == 30
